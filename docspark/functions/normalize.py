@@ -7,6 +7,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docspark.functions.chars import FORMS, PERSIAN, WS, count, strip
 
@@ -28,7 +29,7 @@ def presentation_forms() -> dict[str, str]:
     return {chr(c): new for c in points if (new := unicodedata.normalize("NFKC", chr(c))) != chr(c)}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 

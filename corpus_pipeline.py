@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm import exact, langid, quality, simhash
-from docspark.llm.common import stage, table
+from docspark.llm.common import apart, stage, table
 from docspark.llm.queries import POLICY, pieces
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter go."""
-    names = docs.columns
-    found = langid.predict(docs.withColumn("_text", F.col("text")), langid.training_sample(docs), "_text", tuple(names))
-    return found.filter(F.col("lang_pred") != "und").select(*names)
+    plain, names = apart(docs)
+    found = langid.predict(plain.withColumn("_text", F.col(names["text"])), langid.training_sample(docs), "_text", tuple(names.values()))
+    return found.filter(F.col("lang_pred") != "und").select(*names.values()).toDF(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ _BREAK = "(?=" + "|".join(map(re.escape, CONTROL)) + ")(.)"
 
 def escape(text: Column) -> Column:
     """Backslashes doubled, and one put behind the first character of every control string."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\\\\\"), F.lit(_BREAK.replace("<", "\\<")), F.lit(r"$1\\"))
+    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), F.lit(_BREAK.replace("<", "\\<")), F.lit(r"$1\\"))
 
 
 def unescape(text: str) -> str:

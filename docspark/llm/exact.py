@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.common import ascii_lower, join_groups, shared_dir, stage
+from docspark.llm.common import apart, ascii_lower, join_groups, shared_dir, stage
 
 SCHEMA = "digest string, keep_id {}, group_size long, batch long"
 
@@ -71,8 +71,9 @@ def keep_one(docs: DataFrame, index: DigestIndex, text: str = "text") -> DataFra
     found = assign(docs, index, text)
     stays = found.filter("kept").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
     twice = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"))
-    rows = docs.withColumn("_d", digest(F.col(text)))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_d") == F.col("_digest"))
+    plain, names = apart(docs)
+    rows = plain.withColumn("_d", digest(F.col(names[text])))
+    same = F.col(names["doc_id"]).eqNullSafe(F.col("_doc")) & (F.col("_d") == F.col("_digest"))
     rows = rows.join(stays, same, "left_semi")
-    once = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_d"]))
-    return once.select(*docs.columns)
+    once = rows.join(twice, same, "left_anti").unionByName(rows.join(twice, same, "left_semi").dropDuplicates([names["doc_id"], "_d"]))
+    return once.select(*names.values()).toDF(*docs.columns)

@@ -14,7 +14,7 @@ from docspark.llm.license_texts import KNOWN
 STEPS = [
     (r"(?:^|\n)[ \t#*/;-]*(?:copyright[ \t]+(?:\(c\)|©|[0-9<\[])|\(c\)[ \t]+(?:copyright|[0-9])|©|all rights reserved)[^\n]*", " "),
     (r"[^0-9a-z\x{A9}-\x{1FFF}\x{2C00}-\x{10FFFF}]+", " "),
-    (r"\blicence", "license"), (r"\bsub license", "sublicense"), (r"\bnon infringement", "noninfringement"),
+    (r"licence", "license"), (r"\bsub license", "sublicense"), (r"\bnon infringement", "noninfringement"),
     (r"\bmerchantibility\b", "merchantability"), (r"\bcopyright (?:owner|holder)s?\b", "copyright holder"), (r"\backnowledgement", "acknowledgment"),
     (r"\bfavour", "favor"), (r"\b(author|organ|util)is", "$1iz"), (r"\bhttps\b", "http"),
     (r"^ +| +$", ""),

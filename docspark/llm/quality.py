@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import let
+from docspark.llm.common import apart, let
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -114,7 +114,5 @@ def ablations(entries: DataFrame, policy: Policy) -> DataFrame:
 
 def keep_good(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, all columns."""
-    names = [f"_c{i}" for i in range(len(docs.columns))]  # measurements may clash with the table's own names
-    plain = docs.toDF(*names)
-    judged = ledger(plain.withColumn("_text", F.col(names[docs.columns.index(text)])), "_text")
-    return judged.filter(policy.kept(F.col("failed"))).select(*names).toDF(*docs.columns)
+    plain, names = apart(docs)
+    return ledger(plain, names[text]).filter(policy.kept(F.col("failed"))).select(*names.values()).toDF(*docs.columns)

@@ -179,22 +179,25 @@ def load(path: str, kind: type[ByteBPE] = ByteBPE) -> ByteBPE:
     return kind(path)
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """``keep`` columns and ``ids`` binary of every whole text (null: empty). Row by row, no shuffle.
 
+    ``decoded`` adds the text decoded from the ids, in the same worker: ids and texts pass to Python and back once.
     Repeated rows give repeated rows; an empty table gives none; further columns are not read.
     """
     rows = docs.select(*keep, text)
+    names = [*keep, "ids", *["decoded"] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                ids = pa.array([bpe.encode(x or "") for x in part.column(len(keep)).to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*keep, "ids"])
+                ids = [bpe.encode(x or "") for x in part.column(len(keep)).to_pylist()]
+                back = [pa.array(map(bpe.decode, ids), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary()), *back], names)
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "ids binary"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "ids binary", *["decoded string"] * decoded]))
 
 
 def decode_ids(encoded: DataFrame, path: str) -> DataFrame:

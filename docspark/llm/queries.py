@@ -59,7 +59,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer()), tokenizer())
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), tokenizer(), decoded=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

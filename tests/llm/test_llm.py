@@ -102,6 +102,7 @@ def test_bpe_equals_library(spark):
         assert own.decode(own.encode(t)) == reference.decode(want, skip_special_tokens=False)
     got = bpe.decode_ids(bpe.encode_texts(odd(spark), PATH), PATH).collect()
     assert sorted(r.decoded for r in got) == sorted(r[1] or "" for r in ODD)
+    assert sorted(map(tuple, bpe.encode_texts(odd(spark), PATH, decoded=True).collect()), key=str) == sorted(map(tuple, got), key=str)
     assert bpe.encode_texts(none(spark), PATH).count() == 0
 
 

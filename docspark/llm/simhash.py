@@ -4,7 +4,8 @@ Fingerprints that differ in 3 bits or fewer differ in at most one bit of one of
 half are the words of a covering code: the perfect [31, 26] Hamming code on 31 bits, times the last bit as it is.
 Its covering radius is 1, so each half has a home anchor within 1, and the other fingerprint's half lies within
 radius + threshold = 2 of it. Every fingerprint goes to all anchors within 2 (16.5 a half on average), and per
-anchor those at home are compared with all that came. An anchor's links are reduced to a spanning forest where
+anchor those at home are compared with all that came; an anchor with over HOT rows is first subdivided by the bytes
+of the other half, four of which cannot all differ. An anchor's links are reduced to a spanning forest where
 they are found, so that a group of n near copies yields at most n - 1 links.
 """
 
@@ -18,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import join_groups, remove, stage, stage_at
+from docspark.llm.common import join_groups, stage
 from docspark.llm.components import components
 
 BITS, THRESHOLD, SEED = 64, 3, 42
+#: An anchor with more rows is subdivided.
+HOT = 8192
 POSITIONS = np.arange(1, 32, dtype=np.uint32)
 ONE = [np.uint32(0), *(np.uint32(1 << (p - 1)) for p in range(1, 32))]
 #: By syndrome: what to flip to reach each code word within 2 (within 1 first: the home anchor).
@@ -101,31 +104,73 @@ def forest(fp: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, int]]:
                 label[label == label[j]] = label[i]
 
 
-def links(groups: DataFrame) -> DataFrame:
-    """u, v: links between distinct fingerprints, enough of them to connect whatever is connected."""
-    rows = anchored(groups).repartition("anchor").sortWithinPartitions("anchor")
+def compare(rows: DataFrame, hot: int | None) -> DataFrame:
+    """u, v, anchor: the links of each anchor's rows (anchor null), or the rows of an anchor with over ``hot`` of them
+    as they came (u: the fingerprint, v: 1 at home). Rows are sorted by anchor and streamed; a worker holds a batch
+    and one anchor of ``hot`` rows at most.
+    """
+    dealt = rows.repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, home, fp = np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)
+        over: int | None = None  # the anchor whose rows are passed on
+
+        def made(u: np.ndarray, v: np.ndarray, anchor: np.ndarray | None) -> pa.RecordBatch:
+            at = pa.nulls(len(u), pa.int64()) if anchor is None else pa.array(anchor)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), at], ["u", "v", "anchor"])
 
-        def linked(key: np.ndarray, home: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def linked(key: np.ndarray, home: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
             sizes = np.diff(starts, append=len(key))
-            several = (sizes > 1) & (np.add.reduceat(home.astype(np.int64), starts) > 0)
+            large = sizes > (hot or len(key))
+            several = (sizes > 1) & ~large & (np.add.reduceat(home.astype(np.int64), starts) > 0)
             found = [e for a, n in zip(starts[several], sizes[several], strict=True) for e in forest(fp[a : a + n].view(np.uint64), home[a : a + n])]
             out = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["u", "v"])
+            yield made(out[:, 0], out[:, 1], None)
+            for a, n in zip(starts[large], sizes[large], strict=True):
+                yield made(fp[a : a + n], home[a : a + n].astype(np.int64), key[a : a + n])
 
         for batch in batches:
-            key, home, fp = (np.concatenate([a, c.to_numpy(zero_copy_only=False)]) for a, c in zip((key, home, fp), batch.columns, strict=True))
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if over is not None:
+                n = int(np.searchsorted(new[0], over, "right"))
+                yield made(new[2][:n], new[1][:n].astype(np.int64), new[0][:n])
+                new = [c[n:] for c in new]
+                over = None if len(new[0]) else over
+            key, home, fp = (np.concatenate([a, c]) for a, c in zip((key, home, fp), new, strict=True))
             if len(key) and key[0] != key[-1]:
                 cut = np.searchsorted(key, key[-1])  # the last anchor may go on in the next batch
-                yield linked(key[:cut], home[:cut], fp[:cut])
+                yield from linked(key[:cut], home[:cut], fp[:cut])
                 key, home, fp = key[cut:], home[cut:], fp[cut:]
+            if hot and len(key) > hot:
+                over = int(key[0])
+                yield made(fp, home.astype(np.int64), key)
+                key, home, fp = key[:0], home[:0], fp[:0]
         if len(key):
-            yield linked(key, home, fp)
+            yield from linked(key, home, fp)
+
+    return dealt.mapInArrow(run, "u long, v long, anchor long")
+
 
-    return rows.mapInArrow(run, "u long, v long")
+def subdivided(found: DataFrame) -> DataFrame:
+    """anchor, home, fp of the rows passed on, four times each: once for each byte of the half that the anchor is not of.
+
+    Fingerprints within THRESHOLD = 3 bits agree in one of those four bytes, so a hot anchor falls into 4 * 256 parts
+    without losing a link.
+    """
+    rows = found.filter("anchor IS NOT NULL").select(F.col("anchor").alias("whole"), (F.col("v") == 1).alias("home"), F.col("u").alias("fp"))
+    other = F.when(F.shiftright("whole", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    slots = F.array(*(F.lit(n << 8).bitwiseOR(F.shiftrightunsigned(other, 8 * n).bitwiseAND(F.lit(255))) for n in range(4)))
+    return rows.withColumn("slot", F.explode(slots)).select((F.shiftleft(F.col("slot").cast("long"), 33).bitwiseOR(F.col("whole"))).alias("anchor"), "home", "fp")
+
+
+def links(groups: DataFrame, hot: int = HOT) -> DataFrame:
+    """u, v: links between distinct fingerprints, enough of them to connect whatever is connected."""
+    found = stage(compare(anchored(groups), hot), "simhash-links")
+    edges = found.filter("anchor IS NULL").select("u", "v")
+    if found.filter("anchor IS NOT NULL").isEmpty():
+        return edges
+    return edges.unionByName(compare(subdivided(found), None).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -135,15 +180,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> tu
     Equal texts share a fingerprint, whatever their number; null, empty and wordless texts share fingerprint 0.
     Repeated rows stay rows; an empty table gives none; further columns are not read.
     """
-    spark = docs.sparkSession
     rows = stage(fingerprints(docs, ("doc_id",), text, shingle), "simhash-rows")
     groups = stage(rows.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least")), "simhash-groups")
-    edges, at = stage_at(links(groups), "simhash-links")
-    roots = components(edges)
+    roots = components(links(groups))
     joined = groups.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     linked = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stage(joined.join(linked, "root").select("fp", "rows", "component_id"), "simhash-classes")
-    remove(spark, at)
     return rows, classes
 
 

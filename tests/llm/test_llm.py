@@ -223,7 +223,8 @@ def test_simhash_query(spark):
     assert sorted(map(tuple, queries.op7_simhash(spark, SF).collect())) == want
 
 
-def test_simhash_covering_misses_no_link(spark):
+@pytest.mark.parametrize(("hot", "batch"), [(simhash.HOT, 10_000), (3, 5), (40, 64)])
+def test_simhash_covering_misses_no_link(spark, hot, batch):
     rnd, prints = random.Random(11), []
     for _ in range(30):
         p = rnd.getrandbits(64)
@@ -233,8 +234,10 @@ def test_simhash_covering_misses_no_link(spark):
                 p ^= 1 << b
     prints = list(dict.fromkeys(prints))
     signed = [int(np.array([p], np.uint64).view(np.int64)[0]) for p in prints]
-    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot)
     roots = {r.node: r.root for r in components(edges).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     parts, mine = {}, {}
     for p, c in zip(signed, plain_components(prints), strict=True):
         parts.setdefault(c, set()).add(p)

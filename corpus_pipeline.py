@@ -13,7 +13,7 @@ from docspark.llm.queries import POLICY, pieces
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; those without a letter go."""
     plain, names = apart(docs)
-    found = langid.predict(plain.withColumn("_text", F.col(names["text"])), langid.training_sample(docs), "_text", tuple(names.values()))
+    found = langid.predict(plain, langid.training_sample(docs), names["text"], tuple(names.values()))
     return found.filter(F.col("lang_pred") != "und").select(*names.values()).toDF(*docs.columns)
 
 

@@ -152,7 +152,8 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
     winner's bits over the runner-up's (1 if only one language was learned); ties go to the first name. Repeated rows
     get equal answers; an empty table gives no row; further columns are not read.
     """
-    rows, model = docs.select(*keep, text), tuple(sorted(samples.items()))
+    rows, model = docs.select(*keep, *[text] * (text not in keep)), tuple(sorted(samples.items()))
+    at_text = rows.columns.index(text)
 
     def answers(texts: list[str]) -> tuple[list[str], list[float]]:
         if not model:
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
+            texts = [t or "" for t in batch.column(at_text).to_pylist()]
             names, scores, at = [], [], 0
             while at < len(texts):
                 end, size = at, 0
@@ -176,6 +177,6 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
                     end += 1
                 a, b = answers(texts[at:end])
                 names, scores, at = names + a, scores + b, end
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "lang_pred string, score double"]))

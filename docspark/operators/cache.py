@@ -18,6 +18,10 @@ class PageCache:
         have = set(rows.columns)
         rows.select(*(F.col(n).cast(t) if n in have else F.lit(None).cast(t).alias(n) for n, t in (c.split() for c in COLUMNS.split(", ")))).write.mode("append").parquet(self.path)
 
+    def exists(self) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
     def read(self) -> DataFrame:
         return latest(self.spark.read.schema(COLUMNS).parquet(self.path))
 
@@ -28,6 +32,13 @@ def latest(rows: DataFrame, by: str = "written_at") -> DataFrame:
     return picked.select("document_id", "page_no", "_r.*")
 
 
+def from_json(rows: DataFrame, value: str = "value") -> DataFrame:
+    """Cache rows of JSON lines; fields that are missing get their defaults (dpi 200, method ocr, else empty)."""
+    names = [c for c in COLUMNS.split(", ") if not c.startswith("written_at")]
+    got = rows.select(F.from_json(value, ", ".join(names)).alias("r")).select("r.*")
+    return got.na.fill({"dpi": 200, "source_method": "ocr", "text": "", "checksum_sha256": "", "engine_version": "", "created_at": ""})
+
+
 def lookup(pages: DataFrame, cache: DataFrame) -> DataFrame:
     """``pages`` with cache_hit and cached_text: the cached page counts if checksum, dpi, method and version agree."""
     old = cache.select("document_id", "page_no", F.col("text").alias("_text"), *(F.col(c).alias(f"_{c}") for c in IDENTITY))

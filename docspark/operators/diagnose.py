@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.chars import CONTROL, PERSIAN_NO_FORMS_B, PRIVATE, READABLE, REPLACED, count
+from docspark.functions.chars import CONTROL, PERSIAN_NO_FORMS_B, PRIVATE, READABLE, REPLACED, count, strip
 
 STATUSES = ("text_ok", "text_plus_visual", "text_broken", "scanned", "empty")
 METHODS = {"text_ok": "text_extract_sorted", "text_plus_visual": "hybrid", "text_broken": "ocr", "scanned": "ocr", "empty": "skip"}
@@ -19,6 +19,15 @@ def text_stats(pages: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
+def object_stats(pages: DataFrame) -> DataFrame:
+    """Adds all statistics of page objects: characters of raw_text, blocks that are not blank, share of the page under
+    images (image_rect_areas over width * height, 1 at most; 0 for a page without area)."""
+    area = F.col("width") * F.col("height")
+    covered = F.aggregate(F.coalesce("image_rect_areas", F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + F.coalesce(F.abs(x), F.lit(0.0)))
+    blocks = F.filter(F.coalesce("text_blocks", F.array().cast("array<string>")), lambda b: strip(b) != "")
+    return text_stats(pages, "raw_text").withColumns({"text_block_count": F.size(blocks), "image_area_ratio": F.when(area > 0, F.least(covered / area, F.lit(1.0))).otherwise(0.0)})
+
+
 def broken_ratio() -> Column:
     bad = F.col("pua_char_count") + F.col("replacement_char_count") + F.col("control_char_count")
     return F.coalesce(bad / F.nullif(F.col("char_count"), F.lit(0)), F.lit(0.0))

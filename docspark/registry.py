@@ -15,8 +15,8 @@ from docspark import oracle as O
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
 from docspark.functions.chars import words
-from docspark.operators import cache, chunking, cost, diagnose, layout, prompts, retrieval
-from docspark.plans import ingest
+from docspark.operators import bench, cache, chunking, cost, diagnose, layout, prompts, retrieval
+from docspark.plans import ingest, process
 from docspark.sources import files
 
 WIDTH, HEIGHT = O.WIDTH, O.HEIGHT
@@ -246,7 +246,39 @@ def bench_summary(spark, sf):
     return each.join(F.broadcast(whole)).agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 2).alias("hit_rate"), F.round(F.avg("rag"), 1).alias("mean_rag_tokens"), F.round(F.avg(100 * (1 - F.col("rag") / F.col("whole"))), 1).alias("mean_reduction"))
 
 
-_ALL = (page_text_stats, page_diagnosis, document_diagnosis, pages_with_status, normalize_text, persian_features, text_features, noise_block_filter, group_lines, column_count, line_types, regions_query, repeated_lines, strip_repeated, sentence_split, split_paragraph, chunk_regions, chunk_pages, parse_pages, document_id, token_estimate, scenario_cost, tf, idf, lexical_topk, render_chunk, pack_context, history_filter, build_messages, route_method, text_fallback, cache_hits, cache_misses, job_rollup, bench_summary)
+def object_stats(spark, sf):
+    n = F.col("doc_id")
+    rows = documents(spark, sf).select(n, F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.col("text").alias("raw_text"), F.split("text", "\n").alias("text_blocks"), F.array((n % 7) * 100000.0, (n % 3) * 50000.0).alias("image_rect_areas"))
+    return diagnose.object_stats(rows).select("doc_id", "char_count", "readable_char_count", "text_block_count", F.round("image_area_ratio", 6).alias("image_area_ratio"))
+
+
+def page_text(spark, sf):
+    return process.page_text(regions(spark, sf))
+
+
+def reading_order(spark, sf):
+    return layout.reading_order(lines(spark, sf), WIDTH).select("document_id", "page_number", F.col("line_id").cast("long").alias("line_id"), F.col("position").cast("long").alias("position"))
+
+
+def question_bench(spark, sf):
+    first = (F.col("chunk_id") % 50).cast("int")
+    rows = chunks(spark, sf).withColumn("page_start", first).withColumn("page_end", first + (F.col("chunk_id") % 2).cast("int"))
+    asked = questions(spark, sf).withColumn("expected_pages", F.array((F.col("query_id") % 50).cast("int"), (F.col("query_id") % 50 + 1).cast("int")))
+    made = bench.question_bench(rows, asked, 1_000_000)
+    return made.select("query_id", F.array_join(F.col("retrieved_pages").cast("array<string>"), ",").alias("pages"), "page_hit", F.col("pipeline_rag.context_tokens").alias("rag_tokens"), F.col("baseline.input_tokens").alias("baseline_tokens"), F.col("input_token_reduction_pct").alias("reduction"))
+
+
+def process_pages(spark, sf):
+    """Whole run over blocks of the documents: diagnosis, routes, text, fallback; OCR is read from the same blocks."""
+    made = blocks(spark, sf)
+    objects = made.groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    stats = diagnose.text_stats(objects).withColumns({"checksum_sha256": F.sha2("text", 256), "image_count": (F.col("page_number") % 3).cast("int"), "image_area_ratio": F.lit(0.5), "drawing_count": F.lit(0)})
+    rows = diagnose.diagnose_pages(stats.drop("text"))
+    done = process.run_pages(rows, made, WIDTH, HEIGHT, None, lambda todo: made.join(todo, ["document_id", "page_number"], "left_semi"))
+    return done.pages.select("document_id", "page_number", "status", "source_method", "fallback_used", F.length("text").alias("n_chars"))
+
+
+_ALL = (object_stats, page_text, reading_order, question_bench, process_pages, page_text_stats, page_diagnosis, document_diagnosis, pages_with_status, normalize_text, persian_features, text_features, noise_block_filter, group_lines, column_count, line_types, regions_query, repeated_lines, strip_repeated, sentence_split, split_paragraph, chunk_regions, chunk_pages, parse_pages, document_id, token_estimate, scenario_cost, tf, idf, lexical_topk, render_chunk, pack_context, history_filter, build_messages, route_method, text_fallback, cache_hits, cache_misses, job_rollup, bench_summary)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,6 +13,11 @@ from docspark.functions.normalize import normalize_text
 BLOCKS = "document_id string, page_number int, block_idx int, text string, score double, l double, t double, r double, b double"
 
 
+#: A page's objects: what its text layer, images and drawings are.
+BLOCK = "struct<type:int,bbox:array<double>,lines:array<struct<bbox:array<double>,spans:array<struct<text:string>>>>>"
+OBJECTS = f"document_id string, page_number int, checksum_sha256 string, title string, author string, width double, height double, raw_text string, text_blocks array<string>, image_rect_areas array<double>, image_count int, drawing_count int, font_count int, blocks array<{BLOCK}>"
+
+
 def document_id(path: Column, checksum: Column) -> Column:
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=.)\.[^.]*$", "")
     return F.concat_ws("-", stem, F.substring(checksum, 1, 8))
@@ -24,6 +29,13 @@ def open_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select(document_id(F.col("path"), F.sha2("content", 256)).alias("document_id"), "path", F.sha2("content", 256).alias("checksum"), "content")
 
 
+def page_objects(spark: SparkSession, path: str) -> DataFrame:
+    """Page objects of Parquet or JSON lines, or of PDFs where the PDF library is installed: OBJECTS columns."""
+    if path.lower().endswith(".pdf"):
+        return pdf_objects(open_documents(spark, path))
+    return spark.read.schema(OBJECTS).format("json" if path.endswith((".json", ".jsonl")) else "parquet").load(path)
+
+
 def text_blocks(pages: DataFrame) -> DataFrame:
     """Blocks of a text layer: pages hold blocks (type, bbox) of lines (bbox) of spans (text); only type 0 is text."""
     b = pages.select("document_id", "page_number", F.posexplode("blocks").alias("bi", "block")).filter("block.type = 0")
@@ -54,6 +66,82 @@ def pdf_blocks(documents: DataFrame) -> DataFrame:
     return documents.select("document_id", "content").mapInPandas(run, BLOCKS)
 
 
+def pdf_objects(documents: DataFrame) -> DataFrame:
+    """OBJECTS of every page of PDF bytes; blank titles and authors are null. Needs the optional PDF library."""
+    import pymupdf  # noqa: F401
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+        import pymupdf
+
+        for frame in frames:
+            for doc, checksum, content in zip(frame["document_id"], frame["checksum"], frame["content"], strict=True):
+                with pymupdf.open(stream=content, filetype="pdf") as pdf:
+                    about = [(pdf.metadata.get(k) or "").strip() or None for k in ("title", "author")]
+                    for number, page in enumerate(pdf, 1):
+                        images = page.get_images(full=True)
+                        areas = [abs(rect) for image in images for rect in page.get_image_rects(image[0])]
+                        blocks = [{"type": b["type"], "bbox": list(b["bbox"]), "lines": [{"bbox": list(x["bbox"]), "spans": [{"text": t["text"]} for t in x["spans"]]} for x in b.get("lines", [])]} for b in page.get_text("dict", sort=True)["blocks"]]
+                        row = (doc, number, checksum, *about, page.rect.width, page.rect.height, page.get_text("text"), [b[4] for b in page.get_text("blocks")], areas, len(images), len(page.get_drawings()), len(page.get_fonts(full=True)), blocks)
+                        yield pd.DataFrame([row], columns=[c.split()[0] for c in OBJECTS.split(", ")])
+
+    return documents.select("document_id", "checksum", "content").mapInPandas(run, OBJECTS)
+
+
+def pdf_images(documents: DataFrame, pages: DataFrame | None = None, dpi: int = 200) -> DataFrame:
+    """document_id, page_number, image (PNG bytes) page by page, of ``pages`` if given. Needs the optional PDF library."""
+    import pymupdf  # noqa: F401
+
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+        import pymupdf
+
+        for frame in frames:
+            for doc, content, wanted in frame.itertuples(index=False, name=None):
+                with pymupdf.open(stream=content, filetype="pdf") as pdf:
+                    for number in sorted({int(n) for n in wanted}) if wanted is not None else range(1, len(pdf) + 1):
+                        if 1 <= number <= len(pdf):
+                            yield pd.DataFrame([(doc, number, pdf[number - 1].get_pixmap(dpi=dpi).tobytes("png"))], columns=["document_id", "page_number", "image"])
+
+    rows = documents.select("document_id", "content")
+    if pages is None:
+        rows = rows.withColumn("wanted", F.lit(None).cast("array<int>"))
+    else:
+        rows = rows.join(pages.groupBy("document_id").agg(F.collect_set("page_number").alias("wanted")), "document_id")
+    return rows.mapInPandas(run, "document_id string, page_number int, image binary")
+
+
+def write_images(images: DataFrame, path: str) -> None:
+    """One Parquet row an image, by document: an object store copes better with this than with a file a page."""
+    images.withColumn("name", F.format_string("page_%d.png", "page_number")).write.mode("overwrite").parquet(path)
+
+
+def preprocessed(engine: Callable[[], Callable[[bytes], list[tuple]]], upscale: float = 1.0, contrast: float = 1.0, sharpen: bool = False, gray: bool = False) -> Callable[[], Callable[[bytes], list[tuple]]]:
+    """``engine`` behind image preprocessing (all off by default); needs the optional imaging library once any is on."""
+
+    def build() -> Callable[[bytes], list[tuple]]:
+        recognise = engine()
+        if upscale == 1.0 and contrast == 1.0 and not sharpen and not gray:
+            return recognise
+        from io import BytesIO
+
+        from PIL import Image, ImageEnhance, ImageFilter
+
+        def prepared(data: bytes) -> list[tuple]:
+            image = Image.open(BytesIO(data)).convert("L" if gray else "RGB")
+            if upscale != 1.0:
+                image = image.resize((round(image.width * upscale), round(image.height * upscale)), Image.Resampling.LANCZOS)
+            image = ImageEnhance.Contrast(image).enhance(contrast) if contrast != 1.0 else image
+            image = image.filter(ImageFilter.SHARPEN) if sharpen else image
+            out = BytesIO()
+            image.save(out, "PNG")
+            return recognise(out.getvalue())
+
+        return prepared
+
+    return build
+
+
 def ocr_blocks(images: DataFrame, engine: Callable[[], Callable[[bytes], list[tuple]]]) -> DataFrame:
     """Blocks of page images; ``engine()`` is built once a Python worker and maps image bytes to (text, score, l, t, r, b)."""
 

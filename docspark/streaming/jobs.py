@@ -19,8 +19,7 @@ def run_jobs(jobs: DataFrame, cache: PageCache, process: Callable[[DataFrame], D
     def batch(pages: DataFrame, number: int) -> None:
         spark = pages.sparkSession
         todo = pages.dropDuplicates(["document_id", "page_no"])
-        at = spark._jvm.org.apache.hadoop.fs.Path(cache.path)
-        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        if cache.exists():
             todo = misses(todo, cache.read())
         out = f"{sink}/batch={number}"
         process(todo).write.mode("overwrite").parquet(out)

@@ -1,3 +1,4 @@
+import json
 import os
 import random
 import unicodedata
@@ -7,11 +8,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docspark import registry
+from docspark import cli, registry
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
-from docspark.operators import cache, chunking, diagnose, layout, prompts
-from docspark.plans import ingest
+from docspark.operators import bench, cache, chunking, diagnose, layout, prompts
+from docspark.plans import ingest, process
 from docspark.sources import files
 from docspark.streaming import jobs
 
@@ -182,3 +183,62 @@ def test_text_layer_blocks(spark):
     kind = "document_id string, page_number int, blocks array<struct<type:int,bbox:array<double>,lines:array<struct<bbox:array<double>,spans:array<struct<text:string>>>>>>"
     got = files.text_blocks(spark.createDataFrame([(page,)], "v string").select(F.from_json("v", kind).alias("p")).select("p.*")).collect()
     assert [(r.text, r.l, r.r) for r in got] == [("یک دو", 0.0, 9.0)]
+
+
+LINE = "متن فارسی بلند برای آزمون که چند واژه دارد"
+IDENTITY = "document_id string, page_number int, checksum_sha256 string, status string, method string"
+
+
+def test_run_pages_serves_cache_text_fallback_and_ocr(spark, tmp_path):
+    pages = spark.createDataFrame([("d", 1, "s", "text_ok", "text_extract_sorted"), ("d", 2, "s", "scanned", "ocr"), ("d", 3, "s", "empty", "skip"), ("d", 4, "s", "text_ok", "text_extract_sorted"), ("d", 5, "s", "text_ok", "text_extract_sorted")], IDENTITY)
+    blocks = spark.createDataFrame([("d", n, 0, LINE, 1.0, 0.0, 10.0, 400.0, 20.0) for n in (1, 5)], files.BLOCKS)
+    seen = lambda todo: files.ocr_blocks(todo.withColumn("image", F.lit(b"img")), lambda: lambda image: [(LINE, 0.9, 0.0, 10.0, 400.0, 20.0)])
+    store = cache.PageCache(spark, str(tmp_path / "cache"))
+    store.upsert(spark.createDataFrame([("d", 5, "cached", "s", 200, "text"), ("d", 1, "old", "other", 200, "text")], "document_id string, page_no int, text string, checksum_sha256 string, dpi int, source_method string"))
+    done = process.run_pages(pages, blocks, 595.0, 842.0, store.read(), seen)
+    got = {r.page_number: (r.source_method, r.cache_hit, r.fallback_used, r.text) for r in done.pages.collect()}
+    assert got == {1: ("text", False, False, LINE), 2: ("ocr", False, False, LINE), 3: ("text", False, False, ""), 4: ("ocr", False, True, LINE), 5: ("text", True, False, "cached")}
+    assert sorted(r.page_no for r in process.cache_rows(done, pages).collect()) == [1, 2, 4]
+    store.upsert(process.cache_rows(done, pages))
+    again = process.run_pages(pages, blocks, 595.0, 842.0, store.read(), seen)
+    assert {r.page_number for r in again.pages.filter("cache_hit").collect()} == {1, 2, 5}  # a page that fell back is stored as OCR and routed to text, so it is done again
+    whole = process.documents(done, process.document_chunks(done)).first()
+    assert len(whole.pages) == 5 and whole.method_per_page["4"] == "ocr" and len(whole.chunks) == 3
+    none = process.run_pages(pages.limit(0), blocks, 595.0, 842.0, None, seen)
+    assert none.pages.count() == 0 and process.job_chunks(none).count() == 0
+    assert {r.page_number for r in process.run_pages(pages, blocks, 595.0, 842.0, options=ingest.Options(mode="ocr_only"), ocr=seen).pages.filter("source_method = 'ocr'").collect()} == {1, 2, 3, 4, 5}
+
+
+def test_object_stats(spark):
+    kind = "width double, height double, raw_text string, text_blocks array<string>, image_rect_areas array<double>"
+    rows = [(10.0, 10.0, "ab\ufffd", ["x", " \u00a0"], [30.0, -20.0]), (10.0, 10.0, None, None, [500.0]), (0.0, 10.0, "", [], None)]
+    got = diagnose.object_stats(spark.createDataFrame(rows, kind)).collect()
+    assert [(r.char_count, r.replacement_char_count, r.text_block_count, r.image_area_ratio) for r in got] == [(3, 1, 1, 0.5), (0, 0, 0, 1.0), (0, 0, 0, 0.0)]
+
+
+def test_question_bench_without_hits(spark):
+    chunks = spark.createDataFrame([("c1", "اوزون گاز است " * 5, 5, 6), ("c2", "آهن فلز است", 1, 1)], "chunk_id string, text string, page_start int, page_end int")
+    rows_ = {r.query_id: r for r in bench.question_bench(chunks, bench.fixed_questions(spark), 5000).collect()}
+    assert rows_[1].page_hit and rows_[1].retrieved_pages == [5, 6] and rows_[1].pipeline_rag.context_tokens < 100
+    assert not rows_[4].page_hit and rows_[4].pipeline_rag.context_tokens == 0
+    assert bench.summary(bench.question_bench(chunks, bench.fixed_questions(spark).limit(0), 5000)).first().asDict() == {"questions": 0, "retrieval_page_hit_rate": 0.0, "avg_input_token_reduction_pct": 0.0, "rag_context_tokens_avg": 0.0}
+
+
+def test_cached_rows_from_json_get_defaults(spark):
+    got = cache.from_json(spark.createDataFrame([('{"document_id":"d","page_no":2}',)], "value string")).first()
+    assert (got.document_id, got.page_no, got.dpi, got.source_method, got.text) == ("d", 2, 200, "ocr", "")
+
+
+def test_command_line(spark, tmp_path):
+    span = {"type": 0, "bbox": [0, 10, 400, 20], "lines": [{"bbox": [0, 10, 400, 20], "spans": [{"text": LINE}]}]}
+    page = {"document_id": "d", "checksum_sha256": "s", "width": 595.0, "height": 842.0, "raw_text": LINE + " " + LINE, "text_blocks": [LINE], "image_rect_areas": [], "image_count": 0, "drawing_count": 0, "font_count": 1, "blocks": [span]}
+    (tmp_path / "p.jsonl").write_text("".join(json.dumps(page | {"page_number": n}) + "\n" for n in (1, 2, 3)))
+    source = str(tmp_path / "p.jsonl")
+    assert cli.main(["diagnose", str(tmp_path / "absent.pdf")]) == 2
+    assert cli.main(["diagnose", source, "--pages", "1,3", "--outdir", str(tmp_path / "a")]) == 0
+    assert json.loads(spark.read.text(str(tmp_path / "a/diagnosis.json")).first().value)["page_count"] == 2
+    for _ in range(2):
+        assert cli.main(["process", source, "--outdir", str(tmp_path / "b"), "--cache", str(tmp_path / "c")]) == 0
+    assert json.loads((tmp_path / "b/bench.json").read_text())["pages_processed"] == 3
+    assert cli.main(["bench", source, "--outdir", str(tmp_path / "e")]) == 0
+    assert json.loads((tmp_path / "e/token_benchmark.json").read_text())["questions"] == 5

@@ -168,15 +168,17 @@ def predict(docs: DataFrame, samples: dict[str, str], text: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(at_text).to_pylist()]
-            names, scores, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                a, b = answers(texts[at:end])
-                names, scores, at = names + a, scores + b, end
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                texts = [t or "" for t in part.column(at_text).to_pylist()]
+                names, scores, at = [], [], 0
+                while at < len(texts):
+                    end, size = at, 0
+                    while end < len(texts) and (end == at or size + len(texts[end]) <= BATCH_CHARS):
+                        size += len(texts[end])
+                        end += 1
+                    a, b = answers(texts[at:end])
+                    names, scores, at = names + a, scores + b, end
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
 
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep), "lang_pred string, score double"]))

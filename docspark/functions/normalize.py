@@ -40,7 +40,8 @@ def nfc(text: Column) -> Column:
 
 def fold_forms(text: Column) -> Column:
     forms = F.from_json(F.lit(json.dumps(presentation_forms())), "map<string,string>")
-    letters = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(forms, c), c))
+    first, last = min(presentation_forms()), max(presentation_forms())  # only letters in this range are looked up
+    letters = F.transform(F.split(text, ""), lambda c: F.when(c.between(first, last), F.coalesce(F.try_element_at(forms, c), c)).otherwise(c))
     return F.when(text.rlike(FORMS), F.array_join(letters, "")).otherwise(text)
 
 

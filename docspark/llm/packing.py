@@ -2,7 +2,7 @@
 
 A shard is a run of SHARD documents of one input partition, so no text is shuffled, memory is bounded by the
 shard, and a lost executor costs its partitions alone; the same partition packs the same way again. Documents
-longer than the window give up their full windows first, and only the rest is indexed. What is left when a
+longer than the window give up their full windows first; the rest is found by the tokens of the whole document. What is left when a
 shard runs low moves on to the next shard; at the end of a partition it is cut at powers of two, so that no
 sequence needs padding.
 """
@@ -52,7 +52,7 @@ class Packer:
 
     def __init__(self, window: int, base: int):
         self.window, self.sequence = window, base
-        self.pool: list[list] = []  # [doc, start, ids, doc_tokens]
+        self.pool: list[list] = []  # [doc, start, ids, doc_tokens, ids of the whole document]
         self.out: list[tuple] = []
 
     def close(self, parts: list[tuple]) -> None:
@@ -67,14 +67,14 @@ class Packer:
         for start in range(0, full, self.window):
             self.close([(doc, start, ids[start : start + self.window], len(ids))])
         if full < len(ids):
-            self.pool.append([doc, full, ids[full:], len(ids)])
+            self.pool.append([doc, full, ids[full:], len(ids), ids])
         if len(self.pool) >= SHARD:
             self.pack(CARRY)
 
     def pack(self, leave: int) -> None:
         """Fill windows until ``leave`` rows or less than one window are unused."""
         pool, window = self.pool, self.window
-        index = Bm25([x[2] for x in pool])
+        index = Bm25([x[4] for x in pool])
         lengths = np.array([len(x[2]) for x in pool])
         unused, left = np.ones(len(pool), bool), int(lengths.sum())
         for seed in np.argsort(-lengths, kind="stable"):
@@ -82,7 +82,7 @@ class Packer:
                 break
             if not unused[seed]:
                 continue
-            doc, start, ids, total = pool[seed]
+            doc, start, ids, total, _ = pool[seed]
             parts, room = [(doc, start, ids, total)], window - len(ids)
             unused[seed] = False
             near = np.argsort(-index.scores(seed), kind="stable")
@@ -90,7 +90,7 @@ class Packer:
             while room:
                 fits = lengths[near] <= room
                 k = int(np.argmax(fits)) if fits.any() else 0  # the nearest that fits, else the nearest is cut
-                doc, start, ids, total = pool[near[k]]
+                doc, start, ids, total, _ = pool[near[k]]
                 parts.append((doc, start, ids[:room], total))
                 if fits[k]:
                     unused[near[k]] = False
@@ -113,7 +113,7 @@ class Packer:
             room, parts = 1 << (left.bit_length() - 1), []
             left -= room
             while room:
-                doc, start, ids, total = self.pool[0]
+                doc, start, ids, total, _ = self.pool[0]
                 parts.append((doc, start, ids[:room], total))
                 if len(ids) > room:
                     self.pool[0][1:3] = [start + room, ids[room:]]

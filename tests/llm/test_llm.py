@@ -138,6 +138,17 @@ def test_bm25_prefers_shared_rare_terms():
     assert np.argmax(np.where(np.arange(6) == 0, -1, scores)) == 1
 
 
+def test_packing_finds_long_documents_by_their_head():
+    rnd, packer = np.random.default_rng(3), packing.Packer(64, 0)
+    packer.add("long", np.array([*range(1000, 1064), *range(60)], "<u4"))
+    packer.add("near", np.array([1000, 1001, 1002, 1003], "<u4"))
+    for i in range(40):
+        packer.add(i, rnd.integers(0, 60, 4).astype("<u4"))
+    packer.finish()
+    (sequence,) = (s for doc, start, _, _, s, _ in packer.out if doc == "long" and start == 64)
+    assert {doc for doc, _, _, _, s, _ in packer.out if s == sequence} == {"long", "near"}
+
+
 def test_licenses(spark):
     texts = {f"{k}{v}": t for k, t in KNOWN.items() for v, t in enumerate((t, t.upper(), "Copyright (c) 2020 Someone\n\n" + t.replace("license", "licence").replace(",", " ,"), "(c) 2011 A\n" + t.replace("\n", "\n   ")))}
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts.values())], DOCS)

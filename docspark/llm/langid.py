@@ -2,8 +2,9 @@
 
 A suffix automaton of labelled text per language gives the longest match at each place; a text is parsed greedily
 into such matches, and the language with the fewest phrases, times log2 of its training length and over the
-text's letters (bits a letter), wins. Automata are dense tables, and the texts of a batch run through them side by
-side: whole texts in runs of RUN letters, each parsed on its own.
+text's letters (bits a letter), wins. Automata are dense tables over the most frequent letters and sorted transitions
+for all others, and the texts of a batch run through them side by side: whole texts in runs of RUN letters, each
+parsed on its own.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES = 96, 400, 200
 LETTERS, RUN, BATCH_CHARS = 61, 256, 1 << 20
 PAD, GAP, FIRST = 0, 1, 2
-WIDTH = LETTERS + 3  # pad, gap, the letters, any other letter
+WIDTH = LETTERS + 3  # pad, gap, the letters, any letter no sample has; codes from WIDTH on: the rarer letters of the samples
+CODE_BITS = 21
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,8 +55,11 @@ def folded() -> np.ndarray:
     return out
 
 
-def automaton(codes: list[int]) -> np.ndarray:
-    """Suffix automaton as a flat table: state * WIDTH + code to the next state's offset; ~offset where a phrase ends."""
+def automaton(codes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix automaton as a flat table: state * WIDTH + code to the next state's offset; ~offset where a phrase ends.
+
+    Transitions by codes from WIDTH on are sparse: sorted keys (offset << CODE_BITS | code) and the next offsets.
+    """
     follow: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -82,31 +87,50 @@ def automaton(codes: list[int]) -> np.ndarray:
         last = now
     restart = np.zeros(WIDTH, np.int32)
     for c, q in follow[0].items():
-        restart[c] = q * WIDTH
-    table = np.tile(~restart, (len(follow), 1))
+        if c < WIDTH:
+            restart[c] = q * WIDTH
+    table, rare = np.tile(~restart, (len(follow), 1)), {}
     for s, row in enumerate(follow):
         for c, q in row.items():
-            table[s, c] = q * WIDTH
+            if c < WIDTH:
+                table[s, c] = q * WIDTH
+            else:
+                rare[s * WIDTH << CODE_BITS | c] = q * WIDTH
     table[:, PAD] = 0
-    return table.ravel()
+    return table.ravel(), np.array(sorted(rare), np.int64), np.array([rare[k] for k in sorted(rare)], np.int32)
+
+
+def sparse(keys: np.ndarray, nexts: np.ndarray, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The next offsets by rare letters; ~offset where a phrase ends."""
+    if not len(keys):
+        return np.full(len(code), ~0, np.int32)
+
+    def found(wanted: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, nexts[at], -1)
+
+    to = found(state.astype(np.int64) << CODE_BITS | code)
+    return np.where(to >= 0, to, ~np.maximum(found(code), 0))
 
 
 class Parser:
-    """The automata of all languages over one alphabet, the most frequent letters of the training texts."""
+    """The automata of all languages over one alphabet, all letters of the training texts."""
 
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.names = [lang for lang, _ in samples]
         points = [folded()[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)] for _, t in samples]
         letters, counts = np.unique(np.concatenate([np.empty(0, np.uint32), *points]), return_counts=True)
         letters = letters[np.argsort(-counts, kind="stable")]
-        self.code = np.where(folded() > 0, FIRST + LETTERS, GAP).astype(np.uint8)
-        alphabet = {int(x): FIRST + i for i, x in enumerate(letters[letters > 0][:LETTERS])}
-        for x, code in alphabet.items():
-            self.code[folded() == x] = code
+        letters = letters[letters > 0]
+        code = np.full(0x110000, FIRST + LETTERS, np.uint8 if len(letters) <= LETTERS else np.uint32)
+        code[0] = GAP
+        code[letters[:LETTERS]] = FIRST + np.arange(len(letters[:LETTERS]))
+        code[letters[LETTERS:]] = WIDTH + np.arange(len(letters[LETTERS:]))
+        self.code = code[folded()]
         self.tables, self.bits = [], []
         for _, t in samples:
             codes, _, _ = self.codes([t])
-            self.tables.append(automaton([int(c) for c in codes if c != FIRST + LETTERS]))
+            self.tables.append(automaton(codes.tolist()))
             self.bits.append(np.log2(max(2, len(codes))))
 
     def codes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,14 +148,18 @@ class Parser:
         codes, sizes, letters = self.codes(texts)
         runs = -(-sizes // RUN)
         first = np.cumsum(runs) - runs
-        laid = np.zeros((int(runs.sum()), RUN), np.uint8)
+        laid = np.zeros((int(runs.sum()), RUN), codes.dtype)
         laid.ravel()[np.arange(len(codes)) + np.repeat(first * RUN - (np.cumsum(sizes) - sizes), sizes)] = codes
         steps = np.ascontiguousarray(laid.T).astype(np.int64)
+        rare = [np.flatnonzero(step >= WIDTH) for step in steps] if codes.dtype != np.uint8 else [()] * RUN
+        steps = [(np.where(step >= WIDTH, FIRST + LETTERS, step) if len(far) else step, far, step[far] if len(far) else far) for step, far in zip(steps, rare, strict=True)]
         out = np.empty((len(texts), len(self.names)))
-        for n, (table, bits) in enumerate(zip(self.tables, self.bits, strict=True)):
+        for n, ((table, keys, nexts), bits) in enumerate(zip(self.tables, self.bits, strict=True)):
             state, phrases = np.zeros(len(laid), np.int32), np.ones(len(laid), np.int32)
-            for step in steps:
-                state = table[step + state]
+            for step, far, letter in steps:
+                before, state = state, table[step + state]
+                if len(far):
+                    state[far] = sparse(keys, nexts, before[far], letter)
                 ended = state >> 31
                 phrases -= ended
                 state ^= ended

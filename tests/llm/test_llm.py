@@ -311,6 +311,24 @@ def test_parser_counts_greedy_phrases():
     assert abs(costs[0, 0] - phrases * np.log2(len(train)) / letters[0]) < 1.5 * np.log2(len(train)) / letters[0]
 
 
+def test_parser_keeps_every_letter():
+    rnd = random.Random(4)
+    letters = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "en": "abcdefghijklmnopqrstuvwxyz", "ko": [chr(0xAC00 + 7 * i) for i in range(300)], "ru": [chr(0x430 + i) for i in range(32)], "zh": [chr(0x4E00 + i) for i in range(900)], "zz": [chr(0x20000 + i) for i in range(900)]}
+    words = {k: ["".join(rnd.choices(x, k=rnd.randrange(2, 5))) for _ in range(200)] for k, x in letters.items()}
+    texts = {k: " ".join(rnd.choices(w, k=n)) for (k, w), n in zip(words.items(), (300, 900, 200, 900, 100, 150), strict=True)}
+    parser = langid.Parser(tuple(texts.items()))
+    costs, _ = parser.costs([" ".join(t.split()[20:60]) for t in texts.values()])
+    assert [parser.names[i] for i in costs.argmin(axis=1)] == list(texts)
+    text = " ".join(rnd.choices(texts["zh"].split(), k=40))
+    train, codes = (parser.codes([x])[0].tolist() for x in (texts["zh"], text))
+    phrases, at = 0, 0
+    while at < len(codes):
+        n = max((k for k in range(1, len(codes) - at + 1) if any(train[i : i + k] == codes[at : at + k] for i in range(len(train)))), default=1)
+        phrases, at = phrases + 1, at + n
+    got, n_letters = parser.costs([text])
+    assert len(codes) <= langid.RUN and abs(got[0, 4] * n_letters[0] / parser.bits[4] - phrases) < 1e-6
+
+
 def test_pipeline_against_plain_version(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {i for i, r in docs.items() if r.text and any(c.isalpha() for c in r.text)}

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.license_texts import KNOWN
+from docspark.llm.license_texts import DIGESTS, KNOWN, TITLES
 
 #: In order, on lower-case text: (pattern, replacement), the same in Java, RE2 and Python.
 STEPS = [
@@ -36,8 +36,17 @@ def canonical_py(text: str) -> str:
     return t
 
 
+def spellings(name: str, text: str) -> list[str]:
+    """The text as listed, without a title and under each usual one; its numbered points also as bullets."""
+    titles = TITLES.get(name, ())
+    head, _, rest = text.partition("\n\n")
+    body = rest if head in titles else text
+    bodies = dict.fromkeys((body, re.sub(r"(?m)^\d\. ", "* ", body)))
+    return [text, *(f"{title}\n\n{x}" if title else x for x in bodies for title in ("", *titles))]
+
+
 def known_digests() -> dict[str, str]:
-    return {hashlib.sha256(canonical_py(text).encode()).hexdigest(): name for name, text in KNOWN.items()}
+    return DIGESTS | {hashlib.sha256(canonical_py(x).encode()).hexdigest(): name for name, text in KNOWN.items() for x in spellings(name, text)}
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -159,6 +159,19 @@ def test_licenses(spark):
     assert licenses.scan(mixed).first().notices == ["MIT-notice"] and licenses.scan(none(spark)).count() == 0
 
 
+def test_licenses_with_titles_and_long_texts(spark):
+    body, owner = KNOWN["MIT"].partition("\n\n")[2], "\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n"
+    texts = [("MIT", body), ("MIT", "The MIT License (MIT)" + owner + body), ("ISC", "ISC License" + owner + KNOWN["ISC"]), ("BSD-3-Clause", "BSD 3-Clause License" + owner + KNOWN["BSD-3-Clause"]), ("BSD-2-Clause", KNOWN["BSD-2-Clause"].replace("1. ", "* ").replace("2. ", "* ")), (None, body + " Not for sale.")]
+    folder, end = "/usr/share/common-licenses", "END OF TERMS AND CONDITIONS"
+    for f, name in (("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")):
+        if os.path.exists(f"{folder}/{f}"):
+            with open(f"{folder}/{f}", encoding="utf-8") as file:
+                text = file.read()
+            texts += [(name, text), (name, text.partition(end)[0]), (None, text[: len(text) // 3])]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame([(i, t, None, None, None) for i, (_, t) in enumerate(texts)], DOCS)).collect()}
+    assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
+
+
 def test_exact_dedup_and_persistent_index(spark):
     got = exact.assign(odd(spark), exact.DigestIndex(spark)).collect()
     assert len(got) == len(ODD)

@@ -42,10 +42,10 @@ class DigestIndex:
         """
         before = self.read().select("digest", F.col("keep_id").alias("old_id"), F.lit(True).alias("known"))
         groups = counted.groupBy("digest").agg(F.max("doc_id").alias("new_id"), F.sum("n").alias("group_size"))
-        merged = groups.join(before, "digest", "left").select("digest", F.when(F.col("known"), F.col("old_id")).otherwise(F.col("new_id")).alias("keep_id"), "group_size", F.coalesce("known", F.lit(False)).alias("known"))
+        merged = groups.join(before.hint("merge"), "digest", "left").select("digest", F.when(F.col("known"), F.col("old_id")).otherwise(F.col("new_id")).alias("keep_id"), "group_size", F.coalesce("known", F.lit(False)).alias("known"))
         merged = stage(merged, "digest-groups")
         batch = (self.read().agg(F.max("batch")).first()[0] or 0) + 1
-        fresh = merged.join(self.read().select("digest"), "digest", "left_anti")
+        fresh = merged.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
         fresh = fresh.select("digest", "keep_id", "group_size", F.lit(batch).cast("long").alias("batch")).repartition(self.buckets, "digest")
         fresh.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
         return merged

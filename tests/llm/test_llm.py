@@ -188,6 +188,21 @@ def test_exact_dedup_and_persistent_index(spark):
     assert index.spark.table(index.name).count() == 7
 
 
+def test_digest_index_is_joined_by_sort_merge(spark, monkeypatch):
+    plans, join = [], type(odd(spark)).join
+
+    def seen(self, other, on=None, how=None):
+        found = join(self, other, on, how)
+        if on == "digest" and how in ("left", "left_anti"):
+            plans.append(found._jdf.queryExecution().sparkPlan().toString())
+        return found
+
+    monkeypatch.setattr(type(odd(spark)), "join", seen)
+    index = exact.DigestIndex(spark)
+    index.add(spark.createDataFrame([(1, "a", 1)], "doc_id long, digest string, n long"))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+
+
 def repeated_words(text):
     words = [w for w in __import__("re").split("[ \t-\r]+", text or "") if w]
     seen, covered = {}, set()

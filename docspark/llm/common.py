@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 HEAVY_SHARE = 512
 
 
+#: The public vocabulary of op3, op8 and the pipeline.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

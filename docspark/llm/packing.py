@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docspark.llm import bpe
 
@@ -156,3 +157,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = 2048)
             yield made()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+
+
+def pieces(docs: DataFrame, path: str, end_id: int, window: int = 2048) -> DataFrame:
+    """The pieces with ``ids_crc32`` in place of their ids."""
+    return pack_documents(docs, path, end_id, window).withColumn("ids_crc32", F.crc32("ids")).drop("ids")

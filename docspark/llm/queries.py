@@ -7,17 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import bpe, chat, exact, html_main, langid, licenses, packing, quality, sharding, simhash
-from docspark.llm.common import table
+from docspark.llm import bpe, chat, exact, html_main, langid, licenses, packing, pipeline, quality, sharding, simhash
+from docspark.llm.common import table, tokenizer
+from docspark.llm.pipeline import END_ID, POLICY, WINDOW
 
-SHARDS, END_ID, WINDOW, TOKENIZER = 40, 1, 2048, "byte_bpe_50k.json"
-POLICY = "v1"
-
-
-def tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
+SHARDS = 40
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +25,8 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(own).withColumn("parts", chat.text_parts(F.col("text")))))
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    return packing.pack_documents(docs, tokenizer(), END_ID, WINDOW).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces(table(spark, sf_dir, "documents"))
+    return packing.pieces(table(spark, sf_dir, "documents"), tokenizer(), END_ID, WINDOW)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_sharding, op2_chat_formatting, op3_packing, op4_license_scan, op5_exact_dedup, op6_quality_rules, op7_simhash, op8_bpe, op9_html_extraction, op10_language_id)
-    import corpus_pipeline
-
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

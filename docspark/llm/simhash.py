@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import join_groups, stage
-from docspark.llm.components import components
+from docspark.llm.components import components, forest
 
 BITS, THRESHOLD, SEED = 64, 3, 42
-#: An anchor with more rows is subdivided.
-HOT = 8192
+#: An anchor with more rows is subdivided; a part of one with more rows is compared block by block; from DENSE rows on,
+#: rows of one cluster are not compared with each other.
+HOT, PART, DENSE = 8192, 1 << 20, 2048
 POSITIONS = np.arange(1, 32, dtype=np.uint32)
 ONE = [np.uint32(0), *(np.uint32(1 << (p - 1)) for p in range(1, 32))]
 #: By syndrome: what to flip to reach each code word within 2 (within 1 first: the home anchor).
@@ -93,18 +94,47 @@ def anchored(groups: DataFrame) -> DataFrame:
     return groups.select("fp").mapInArrow(run, "anchor long, home boolean, fp long")
 
 
-def forest(fp: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Links within THRESHOLD bits between one anchor's home fingerprints and all of its own, as a spanning forest."""
-    label = np.arange(len(fp))
-    for i in np.flatnonzero(home):
-        near = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= THRESHOLD) & (label != label[i]))
-        for j in near:
+def near(fp: np.ndarray, rows: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links of ``rows`` within THRESHOLD bits to rows of another label, as a spanning forest; labels are joined on the way."""
+    for i in rows:
+        found = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= THRESHOLD) & (label != label[i]))
+        for j in found:
             if label[j] != label[i]:
                 yield fp[i], fp[j]
                 label[label == label[j]] = label[i]
 
 
-def compare(rows: DataFrame, hot: int | None) -> DataFrame:
+def sorted_links(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links between neighbours in sorted order, under eight rotations of the bits: most of a dense cluster, cheaply."""
+    found = []
+    for turn in range(0, BITS, 8):
+        order = np.argsort((fp << np.uint64(turn)) | (fp >> np.uint64((BITS - turn) % BITS)) if turn else fp, kind="stable")
+        for step in (1, 2, 3):
+            a, b = order[:-step], order[step:]
+            close = np.bitwise_count(fp[a] ^ fp[b]) <= THRESHOLD
+            found.append((a[close], b[close]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def links_of(fp: np.ndarray, home: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Links between an anchor's home fingerprints and all of its own, enough to connect what they connect.
+
+    Of many rows, neighbours in sorted order are linked first. Rows of the largest cluster that this gives need no
+    comparison with each other, so only the rows outside it are compared with all.
+    """
+    label = np.arange(len(fp))
+    if len(fp) <= DENSE:
+        yield from near(fp, np.flatnonzero(home), label)
+        return
+    a, b = sorted_links(fp)
+    child, root = forest(a, b)
+    label[child] = root
+    yield from zip(fp[child], fp[root], strict=True)
+    ids, sizes = np.unique(label, return_counts=True)
+    yield from near(fp, np.flatnonzero(label != ids[np.argmax(sizes)]), label)
+
+
+def compare(rows: DataFrame, hot: int) -> DataFrame:
     """u, v, anchor: the links of each anchor's rows (anchor null), or the rows of an anchor with over ``hot`` of them
     as they came (u: the fingerprint, v: 1 at home). Rows are sorted by anchor and streamed; a worker holds a batch
     and one anchor of ``hot`` rows at most.
@@ -122,11 +152,12 @@ def compare(rows: DataFrame, hot: int | None) -> DataFrame:
         def linked(key: np.ndarray, home: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
             sizes = np.diff(starts, append=len(key))
-            large = sizes > (hot or len(key))
+            large = sizes > hot
             several = (sizes > 1) & ~large & (np.add.reduceat(home.astype(np.int64), starts) > 0)
-            found = [e for a, n in zip(starts[several], sizes[several], strict=True) for e in forest(fp[a : a + n].view(np.uint64), home[a : a + n])]
+            found = [e for a, n in zip(starts[several], sizes[several], strict=True) for e in links_of(fp[a : a + n].view(np.uint64), home[a : a + n])]
             out = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
-            yield made(out[:, 0], out[:, 1], None)
+            if len(out):
+                yield made(*forest(out[:, 0], out[:, 1]), None)
             for a, n in zip(starts[large], sizes[large], strict=True):
                 yield made(fp[a : a + n], home[a : a + n].astype(np.int64), key[a : a + n])
 
@@ -142,7 +173,7 @@ def compare(rows: DataFrame, hot: int | None) -> DataFrame:
                 cut = np.searchsorted(key, key[-1])  # the last anchor may go on in the next batch
                 yield from linked(key[:cut], home[:cut], fp[:cut])
                 key, home, fp = key[cut:], home[cut:], fp[cut:]
-            if hot and len(key) > hot:
+            if len(key) > hot:
                 over = int(key[0])
                 yield made(fp, home.astype(np.int64), key)
                 key, home, fp = key[:0], home[:0], fp[:0]
@@ -152,29 +183,60 @@ def compare(rows: DataFrame, hot: int | None) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long, anchor long")
 
 
-def subdivided(found: DataFrame) -> DataFrame:
-    """anchor, home, fp of the rows passed on, four times each: once for each byte of the half that the anchor is not of.
+def passed_on(found: DataFrame) -> DataFrame:
+    """anchor, home, fp of the rows that an anchor had too many of."""
+    return found.filter("anchor IS NOT NULL").select("anchor", (F.col("v") == 1).alias("home"), F.col("u").alias("fp"))
+
+
+def subdivided(rows: DataFrame) -> DataFrame:
+    """``rows`` four times: once for each byte of the half that the anchor is not of.
 
     Fingerprints within THRESHOLD = 3 bits agree in one of those four bytes, so a hot anchor falls into 4 * 256 parts
     without losing a link.
     """
-    rows = found.filter("anchor IS NOT NULL").select(F.col("anchor").alias("whole"), (F.col("v") == 1).alias("home"), F.col("u").alias("fp"))
-    other = F.when(F.shiftright("whole", 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    whole = F.col("anchor")
+    other = F.when(F.shiftright(whole, 32) == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)))
     slots = F.array(*(F.lit(n << 8).bitwiseOR(F.shiftrightunsigned(other, 8 * n).bitwiseAND(F.lit(255))) for n in range(4)))
-    return rows.withColumn("slot", F.explode(slots)).select((F.shiftleft(F.col("slot").cast("long"), 33).bitwiseOR(F.col("whole"))).alias("anchor"), "home", "fp")
+    return rows.withColumn("slot", F.explode(slots)).select((F.shiftleft(F.col("slot").cast("long"), 33).bitwiseOR(whole)).alias("anchor"), "home", "fp")
+
+
+def paired(rows: DataFrame, part: int) -> DataFrame:
+    """``rows`` of parts with over ``part`` rows, dealt into blocks of a part: every pair of a part's blocks is a key.
+
+    Near copies share their bytes, so a part may stay large. Each pair of its rows meets under some pair of blocks,
+    with at most ``part`` rows or so, and links are sought among all rows of a key.
+    """
+    counts = rows.groupBy("anchor").agg(F.count("*").alias("rows"))
+    blocks = counts.select("anchor", (F.floor(2 * F.col("rows") / part) + 1).cast("int").alias("g"))
+    block = F.pmod(F.xxhash64("fp", F.lit(5)), F.col("g"))
+    keys = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda x: F.xxhash64("anchor", F.least(x.cast("long"), block), F.greatest(x.cast("long"), block)))
+    return join_groups(rows, counts.join(blocks, "anchor"), "anchor", "rows").select(F.explode(keys).alias("anchor"), F.lit(True).alias("home"), "fp")
 
 
-def links(groups: DataFrame, hot: int = HOT) -> DataFrame:
+def links(groups: DataFrame, hot: int = HOT, part: int = PART) -> DataFrame:
     """u, v: links between distinct fingerprints, enough of them to connect whatever is connected."""
     found = stage(compare(anchored(groups), hot), "simhash-links")
-    edges = found.filter("anchor IS NULL").select("u", "v")
-    if found.filter("anchor IS NOT NULL").isEmpty():
+    edges, rest = found.filter("anchor IS NULL").select("u", "v"), passed_on(found)
+    if rest.isEmpty():
+        return edges
+    found = stage(compare(subdivided(rest), part), "simhash-links")
+    edges, rest = edges.unionByName(found.filter("anchor IS NULL").select("u", "v")), passed_on(found)
+    if rest.isEmpty():
         return edges
-    return edges.unionByName(compare(subdivided(found), None).select("u", "v"))
+    return edges.unionByName(compare(paired(rest, part), 1 << 62).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(rows, classes): doc_id and fp of every row; fp, rows, component_id of every fingerprint.
+def near_duplicates(groups: DataFrame) -> DataFrame:
+    """fp, component_id of every fingerprint of ``groups`` (fp, least: the smallest non-null doc_id that has it)."""
+    roots = components(links(groups))
+    members = stage(groups.join(roots.select(F.col("node").alias("fp"), "root"), "fp"), "simhash-members")
+    linked = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    found = join_groups(members, linked, "root", "size").select("fp", "component_id")
+    return groups.join(found, "fp", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id"))
+
+
+def assign(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """doc_id, fp, component_id of every row.
 
     ``component_id`` is the smallest non-null doc_id reachable over links of 3 bits or fewer (null if there is none).
     Equal texts share a fingerprint, whatever their number; null, empty and wordless texts share fingerprint 0.
@@ -182,24 +244,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3) -> tu
     """
     rows = stage(fingerprints(docs, ("doc_id",), text, shingle), "simhash-rows")
     groups = stage(rows.groupBy("fp").agg(F.count("*").alias("rows"), F.min("doc_id").alias("least")), "simhash-groups")
-    roots = components(links(groups))
-    joined = groups.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    linked = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stage(joined.join(linked, "root").select("fp", "rows", "component_id"), "simhash-classes")
-    return rows, classes
-
-
-def assign(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp, component_id of every row."""
-    rows, classes = near_duplicates(docs, text, shingle)
+    classes = stage(near_duplicates(groups), "simhash-classes")
     return join_groups(rows, classes, "fp", "rows").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their class's component_id, all columns.
-
-    Rows that share a doc_id stay or go together; rows without one stay.
-    """
-    found = assign(docs, text, shingle)
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter(~F.col("stays"))
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

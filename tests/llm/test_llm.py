@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docspark.llm import bpe, chat, exact, html_main, langid, licenses, packing, quality, queries, sharding, simhash
-from docspark.llm.components import components
+from docspark.llm import bpe, chat, exact, html_main, langid, licenses, nearcopies, packing, quality, queries, sharding, simhash
+from docspark.llm.components import components, forest
 from docspark.llm.license_texts import KNOWN
 
 SF = "/root/testdata/sf0.001"
@@ -262,8 +262,8 @@ def test_simhash_query(spark):
     assert sorted(map(tuple, queries.op7_simhash(spark, SF).collect())) == want
 
 
-@pytest.mark.parametrize(("hot", "batch"), [(simhash.HOT, 10_000), (3, 5), (40, 64)])
-def test_simhash_covering_misses_no_link(spark, hot, batch):
+@pytest.mark.parametrize(("hot", "part", "batch"), [(simhash.HOT, simhash.PART, 10_000), (3, 1000, 5), (3, 4, 64), (40, 10, 64)])
+def test_simhash_covering_misses_no_link(spark, hot, part, batch):
     rnd, prints = random.Random(11), []
     for _ in range(30):
         p = rnd.getrandbits(64)
@@ -274,7 +274,7 @@ def test_simhash_covering_misses_no_link(spark, hot, batch):
     prints = list(dict.fromkeys(prints))
     signed = [int(np.array([p], np.uint64).view(np.int64)[0]) for p in prints]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
-    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot)
+    edges = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), hot, part)
     roots = {r.node: r.root for r in components(edges).collect()}
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     parts, mine = {}, {}
@@ -284,11 +284,91 @@ def test_simhash_covering_misses_no_link(spark, hot, batch):
     assert sorted(map(sorted, parts.values())) == sorted(map(sorted, mine.values()))
 
 
+def test_simhash_cluster_of_30000_fingerprints(spark):
+    rnd = np.random.default_rng(5)
+    centre = rnd.integers(0, 1 << 63, dtype=np.uint64)
+    bits = np.packbits(rnd.random((40_000, 64)) < 0.06, axis=1, bitorder="little").view(np.uint64).ravel()
+    prints = np.unique(np.concatenate([centre ^ bits, rnd.integers(0, 1 << 63, 2000, dtype=np.uint64)]))[:30_000]
+    label = np.arange(len(prints))
+    pairs = np.concatenate([np.stack([np.full(len(j), i), j]) for i in range(len(prints)) if len(j := np.flatnonzero(np.bitwise_count(prints[i:] ^ prints[i]) <= 3) + i)], axis=1)
+    child, root = forest(pairs[1], pairs[0])
+    label[child] = root
+    least = np.full(len(prints), 1 << 62, np.int64)
+    signed = prints.view(np.int64)
+    order = np.argsort(signed, kind="stable")
+    np.minimum.at(least, label, np.argsort(order))
+    groups = spark.createDataFrame(pd.DataFrame({"fp": signed})).repartition(4)
+    roots = {r.node: r.root for r in components(simhash.links(groups, 2000, 3000), 50_000).collect()}
+    got = np.array([roots.get(p, p) for p in signed.tolist()])
+    assert (got == signed[order][least[label]]).all() and len(np.unique(label)) > 100
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 64, 7])
+def test_components_of_chains_stars_and_random_graphs(spark, chunk):
+    rnd = random.Random(chunk)
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(3000 - i, 3000) for i in range(1, 300)] + [(rnd.randrange(5000, 5400), rnd.randrange(5000, 5400)) for _ in range(180)] + [(7, 7), (None, 3), (1399, 2999)]
+    rnd.shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(5), chunk).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u is not None and u != v:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    assert got == {x: find(x) for x in root}
+
+
+def test_near_copies_against_plain_jaccard(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    rnd = random.Random(8)
+    base = [w for r in rows for w in (r.text or "").split()][:400]
+    variants = [tuple([10_000 + i, " ".join(w if rnd.random() > 0.01 else f"x{i}" for w in base), "en", "s", 1]) for i in range(300)]  # one large group
+    rows += spark.createDataFrame(variants, DOCS).collect()
+
+    def shingles(text):
+        words = __import__("re").findall("[^ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [shingles(r.text) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and (sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) > 0):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    want = {rows[x].doc_id for x in label}
+    got = {r.doc_id for r in nearcopies.keep_one(docs.unionByName(spark.createDataFrame(variants, DOCS))).collect()}
+    assert want <= got and len(got - want) <= 0.02 * (len(rows) - len(want))
+
+
+def test_near_copies_split_a_hot_anchor(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 64)
+    monkeypatch.setattr(nearcopies, "SHARE", 2)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(1000)}" for _ in range(200)]
+    rows = [(i, " ".join(w if rnd.random() > 0.005 else f"x{i}" for w in base), "en", "s", 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert nearcopies.keep_one(docs).count() <= 10 and nearcopies.keep_one(docs).columns == docs.columns
+
+
+def test_near_copies_odd_rows(spark):
+    got = nearcopies.keep_one(odd(spark))
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "7", "8", "None"] and got.columns == odd(spark).columns
+    same = spark.createDataFrame([(None, "a b c d e f", None, None, None)] * 3 + [(3, "A b c d e f", None, None, None), (2, "x", None, None, None), (2, "x", None, None, None)], DOCS)
+    assert sorted(r.doc_id for r in nearcopies.keep_one(same).collect()) == [2, 3]
+    assert nearcopies.keep_one(none(spark)).count() == 0
+
+
 def test_simhash_odd_rows(spark):
     got = simhash.assign(odd(spark)).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1}
     assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
-    assert {r.doc_id for r in simhash.keep_one(odd(spark)).collect()} == {1, 4, 7, 8, None}
     assert simhash.assign(none(spark)).count() == 0 and components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 

@@ -53,6 +53,37 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file in one step unless it exists; whether it was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return False
+    part = at.suffix(f".{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.rename(part, at):
+        return True
+    fs.delete(part, False)
+    return False
+
+
+def read_all(spark: SparkSession, folder: str) -> list[str]:
+    """The texts of the small JSON files in a folder, by name; none if there is no such folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = []
+    for status in sorted(fs.listStatus(at), key=lambda s: s.getPath().getName()):
+        if status.getPath().getName().endswith(".json"):
+            given = fs.open(status.getPath())
+            found.append(bytes(given.readAllBytes()).decode())
+            given.close()
+    return found
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body uses it in lambdas."""
     return F.transform(F.array(value), body)[0]

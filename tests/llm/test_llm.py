@@ -185,7 +185,7 @@ def test_exact_dedup_and_persistent_index(spark):
     exact.assign(odd(spark), index).count()
     more = spark.createDataFrame([(9, "SAME text here", None, None, None), (10, "new", None, None, None)], DOCS)
     assert {r.doc_id: (r.keep_id, r.kept) for r in exact.assign(more, exact.DigestIndex(spark, index.location, index.buckets)).collect()} == {9: (5, False), 10: (10, True)}
-    assert index.spark.table(index.name).count() == 7
+    assert index.read().count() == 7
 
 
 def test_digest_index_is_joined_by_sort_merge(spark, monkeypatch):
@@ -193,14 +193,53 @@ def test_digest_index_is_joined_by_sort_merge(spark, monkeypatch):
 
     def seen(self, other, on=None, how=None):
         found = join(self, other, on, how)
-        if on == "digest" and how in ("left", "left_anti"):
+        if on == "digest" and ("keep_id" in other.columns or how == "left_anti"):
             plans.append(found._jdf.queryExecution().sparkPlan().toString())
         return found
 
+    index = exact.DigestIndex(spark)
+    exact.assign(spark.createDataFrame([(1, "a")], "doc_id long, text string"), index)
     monkeypatch.setattr(type(odd(spark)), "join", seen)
+    exact.assign(spark.createDataFrame([(2, "b")], "doc_id long, text string"), index)
+    assert sum("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans) == 2
+
+
+def batch_of(spark, ids):
+    return spark.createDataFrame([(i, f"text {i % 60}", None, None, None) for i in ids], DOCS)
+
+
+def test_digest_index_refuses_other_bucket_counts(spark):
+    index = exact.DigestIndex(spark, buckets=4)
+    assert exact.assign(batch_of(spark, range(60)), index).filter("kept").count() == 60
+    spark.sql(f"DROP TABLE {index.table('data')}")
+    with pytest.raises(ValueError, match="buckets"):
+        exact.DigestIndex(spark, index.location, 7)
+    again = exact.DigestIndex(spark, index.location)
+    assert again.buckets == 4 and exact.assign(batch_of(spark, range(60, 120)), again).filter("kept").count() == 0 and again.read().count() == 60
+
+
+def test_digest_index_gives_a_batch_the_same_rows_again(spark, monkeypatch):
     index = exact.DigestIndex(spark)
-    index.add(spark.createDataFrame([(1, "a", 1)], "doc_id long, digest string, n long"))
-    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    write, fail = exact.put_new, []
+    monkeypatch.setattr(exact, "put_new", lambda spark, path, text: not fail.append(path) and False)
+    with pytest.raises(RuntimeError):
+        exact.assign(batch_of(spark, range(40)), index, batch="a")  # rows are written, the log entry is not
+    monkeypatch.setattr(exact, "put_new", write)
+    first = sorted(map(tuple, exact.assign(batch_of(spark, range(40)), index, batch="a").collect()))
+    assert sum(r[3] for r in first) == 40 and index.read().count() == 40
+    exact.assign(batch_of(spark, range(70)), index, batch="b")
+    index.compact()
+    assert sorted(map(tuple, exact.assign(batch_of(spark, range(40)), index, batch="a").collect())) == first
+    got = exact.assign(batch_of(spark, range(70)), exact.DigestIndex(spark, index.location), batch="b").collect()
+    assert sum(r.kept for r in got) == 20 and index.read().count() == 60
+
+
+def test_digest_index_is_compacted(spark, monkeypatch):
+    monkeypatch.setattr(exact, "COMPACT_AFTER", 2)
+    index = exact.DigestIndex(spark, buckets=2)
+    for n in range(3):
+        assert exact.assign(batch_of(spark, range(20 * n, 20 * n + 20)), index).filter("kept").count() == 20
+    assert index.folder(index.log()) != "data" and index.read().count() == 60
 
 
 def repeated_words(text):
@@ -387,6 +426,54 @@ def test_html(spark):
     assert {(1, ""), (2, ""), (3, "plain é"), (4, "deep")} <= got and html_main.extract(pages.limit(0)).count() == 0
 
 
+LONG_WORDS = " ".join(["Some words of an article, and more of them."] * 12)
+THREE = "".join(f"<p>{n} {LONG_WORDS}</p>" for n in "abc")
+THREE_TEXT = " ".join(f"{n} {LONG_WORDS}" for n in "abc")
+ROUND = "<nav><a href=1>Home</a> <a href=2>News</a></nav>", "<footer>All rights reserved, and so on, by the owner of this page.</footer>"
+
+
+@pytest.mark.parametrize("wrapper", [
+    "<form action=x>", "<fieldset>", "<div class='layout has-sidebar'>", "<div class='page with-ads'>", "<div class='market-share-report'>", "<div class='search'>", "<div id=search-results>", "<div class=sidebar>",
+    "<article class='post comments-open'>", "<article class='post tag-social'>", "<form><article>", "<section class='header'>", "<div class='discussion'>",
+])
+def test_html_keeps_an_article_in_a_badly_named_wrapper(wrapper):
+    assert html_main.main_text(f"<html><body>{ROUND[0]}{wrapper}{THREE}</div></form>{ROUND[1]}</body></html>") == THREE_TEXT
+
+
+@pytest.mark.parametrize("extra", [
+    "<section id=comments>{}</section>", "<div class=comment-list>{}</div>", "<div class=related-posts>{}</div>", "<aside>{}</aside>", "<div class=cookie-notice>{}</div>", "<div class='widget newsletter-signup'>{}</div>",
+    "<form>{}</form>", "<div hidden>{}</div>", "<div style='display: none'>{}</div>", "<footer>{}</footer>", "<div class=sponsored-content>{}</div>", "<noscript>{}</noscript>", "<textarea>{}</textarea>",
+])
+@pytest.mark.parametrize("frame", ["article", "div"])
+def test_html_leaves_out_what_is_no_article(extra, frame):
+    other = extra.format("<p>" + "Other words, not of the article, with commas, to score well. " * 8 + "</p>")
+    assert html_main.main_text(f"<body>{ROUND[0]}<{frame}>{THREE}</{frame}>{other}{ROUND[1]}</body>") == THREE_TEXT
+
+
+def test_html_long_comments_stay_out():
+    short = "A short article, but an article, with some words to it, and some commas, as usual."
+    comments = "".join(f"<div class=comment-body><p>Reader {i} says, at length, many, many words about it, again and again.</p></div>" for i in range(60))
+    assert html_main.main_text(f"<body><article><p>{short}</p></article><div id=comments>{comments}</div></body>") == short
+    assert html_main.main_text(f"<body><form><div><p>{short}</p></div></form><div id=comments>{comments}</div></body>") == short
+
+
+HOSTILE = {
+    "open tags": "<a" * 500_000, "open tags at last closed": "<a" * 500_000 + ">", "open quotes": "<a x=\"" * 160_000 + ">", "quoted ends": "<a b=\">\" c" * 90_000, "one quote": "<p title='>x" * 80_001,
+    "stray end tags": "<p>" + "<i>" * 60_000 + "</b>" * 200_000, "blockquotes": "<blockquote>a, b" * 60_000, "cells": "<table><td>" * 80_000 + "x", "forms": "<form>x" * 130_000, "comment marks": "<!--" * 250_000, "comments": "<!-- x -->" * 100_000,
+    "raw": "<script>" * 120_000, "rules": "<b>" * 100_000 + "<hr>" * 150_000, "attributes": "<p " + "a b " * 250_000 + ">text", "long name": "<p " + "a" * 1_000_000 + ">text", "spaces": "<p a" + " " * 1_000_000 + ">text", "entities": "&amp" * 250_000,
+    "articles": "<article>" * 110_000, "equals": "<p " + "=\"" * 400_000 + ">text", "less": "<" * 1_000_000 + ">", "asides": "<aside>x" * 120_000 + "</aside>" * 10, "bodies": "<body>" * 160_000, "headings": "<h1>x</h1>" * 100_000,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_html_hostile_pages_take_linear_time(name):
+    import time
+
+    began = time.process_time()
+    html_main.main_text(HOSTILE[name])
+    assert time.process_time() - began < 8
+
+
 def test_html_query_against_articles(spark):
     import html as h
     import re
@@ -407,16 +494,34 @@ def test_language(spark):
     assert langid.predict(none(spark), sample).count() == 0 and langid.training_sample(none(spark)) == {}
 
 
-def test_parser_counts_greedy_phrases():
-    parser = langid.Parser((("x", "abcab"), ("y", "zzz")))
-    codes, _, _ = parser.codes(["abcab"])
-    train, text = codes.tolist(), parser.codes(["cabcabz"])[0].tolist()
-    phrases, at = 0, 0
+def greedy_phrases(train, text):
+    train, text = ("".join(chr(0x100 + c) for c in x) for x in (train, text))
+    count, at = 0, 0
     while at < len(text):
-        n = max((k for k in range(1, len(text) - at + 1) if any(train[i : i + k] == text[at : at + k] for i in range(len(train)))), default=1)
-        phrases, at = phrases + 1, at + n
-    costs, letters = parser.costs(["cabcabz"])
-    assert abs(costs[0, 0] - phrases * np.log2(len(train)) / letters[0]) < 1.5 * np.log2(len(train)) / letters[0]
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in train:
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
+@pytest.mark.parametrize(("run", "batch"), [(256, 1 << 20), (4, 1 << 20), (8, 10), (3, 7)])
+def test_parser_counts_greedy_phrases(monkeypatch, run, batch):
+    monkeypatch.setattr(langid, "RUN", run)
+    monkeypatch.setattr(langid, "BATCH_CHARS", batch)
+    rnd = random.Random(6)
+    parser = langid.Parser((("x", "abcab aaab cabba"), ("y", "zzz"), ("z", "".join(rnd.choice("ab c") for _ in range(300)))))
+    texts = ["cabcabz", "", "a" * 50, "?!", "aab  ab\nc" * 9, *("".join(rnd.choice("abc  qz") for _ in range(rnd.randrange(90))) for _ in range(40))]
+    for given in (texts, *([t] for t in texts)):
+        costs, letters = parser.costs(given) if batch > 100 or len(given) == 1 else (None, None)
+        if costs is None:
+            continue
+        for i, text in enumerate(given):
+            codes = parser.codes([text])[0].tolist()
+            for n, train in enumerate(("abcab aaab cabba", "zzz")):
+                want = greedy_phrases(parser.codes([train])[0].tolist(), codes)
+                assert letters[i] == sum(c.isalpha() for c in text)
+                assert abs(costs[i, n] * max(1, letters[i]) / parser.bits[n] - want) < 1e-6
 
 
 def test_parser_keeps_every_letter():
@@ -428,13 +533,36 @@ def test_parser_keeps_every_letter():
     costs, _ = parser.costs([" ".join(t.split()[20:60]) for t in texts.values()])
     assert [parser.names[i] for i in costs.argmin(axis=1)] == list(texts)
     text = " ".join(rnd.choices(texts["zh"].split(), k=40))
-    train, codes = (parser.codes([x])[0].tolist() for x in (texts["zh"], text))
-    phrases, at = 0, 0
-    while at < len(codes):
-        n = max((k for k in range(1, len(codes) - at + 1) if any(train[i : i + k] == codes[at : at + k] for i in range(len(train)))), default=1)
-        phrases, at = phrases + 1, at + n
     got, n_letters = parser.costs([text])
-    assert len(codes) <= langid.RUN and abs(got[0, 4] * n_letters[0] / parser.bits[4] - phrases) < 1e-6
+    assert abs(got[0, 4] * n_letters[0] / parser.bits[4] - greedy_phrases(*(parser.codes([x])[0].tolist() for x in (texts["zh"], text)))) < 1e-6
+
+
+def test_language_query_against_plain_parse(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    samples = langid.training_sample(docs)
+    parser = langid.Parser(tuple(sorted(samples.items())))
+    rows = [r for r in docs.collect() if r.doc_id % 25 == 0 and len(r.text or "") < 3000]
+    got = {r.doc_id: r.lang_pred for r in queries.op10_language_id(spark, SF).collect()}
+    for r in rows:
+        codes = parser.codes([r.text or ""])[0].tolist()
+        bits = [greedy_phrases(parser.codes([t])[0].tolist(), codes) * b for (_, t), b in zip(sorted(samples.items()), parser.bits, strict=True)] if any(c.isalpha() for c in r.text or "") else None
+        assert got[r.doc_id] == ("und" if bits is None else parser.names[int(np.argmin(bits))])
+
+
+@pytest.mark.parametrize("tiny", [None, "ok", "twenty letters in here"])
+def test_language_with_hardly_any_text_does_not_win(spark, tiny):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd_language = spark.createDataFrame([(100_000 + i, tiny, "xx", "s", 1) for i in range(40)], DOCS)
+    samples = langid.training_sample(docs.unionByName(odd_language))
+    assert ("xx" in samples) == (tiny is not None)
+    found = langid.predict(docs, samples, keep=("doc_id", "lang")).filter("lang_pred != 'und'").collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.95 * len(found)
+
+
+def test_language_sample_takes_whole_short_documents_or_the_middle_of_a_long_one(spark):
+    rows = [(i, f"kurz {i} " * 300 if i % 2 else "lang " * 3000, "de", "s", 1) for i in range(40)] + [(100 + i, "x" * 100 + "longue " * 9000 + "y" * 100, "fr", "s", 1) for i in range(9)]
+    got = langid.training_sample(spark.createDataFrame(rows, DOCS))
+    assert "lang" not in got["de"] and len(got["de"]) > 2000 and len(got["fr"]) == langid.SAMPLE_LETTERS and set(got["fr"]) == set("longue ")
 
 
 def test_pipeline_against_plain_version(spark):

@@ -83,6 +83,9 @@ class ByteBPE:
         self.pieces, self.words = Cache(CACHE_PIECES), Cache(CACHE_WORDS)
         assert array("I").itemsize == 4 and sys.byteorder == "little"
 
+    def size(self) -> int:
+        return len(self.strings)
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece. Best rank first, leftmost among equals.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.license_texts import DIGESTS, KNOWN, TITLES
@@ -21,6 +22,11 @@ STEPS = [
 ]
 
 
+#: Known digests up to which they are broadcast: some 100 bytes each.
+BROADCAST_ROWS = 100_000
+BLANK_LINE, HEAD_WORDS = r"\n[ \t\r]*\n", "(?i)licen[sc]e|permission|redistribution"
+
+
 def canonical(text: Column) -> Column:
     t = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for pattern, new in STEPS:
@@ -45,21 +51,54 @@ def spellings(name: str, text: str) -> list[str]:
     return [text, *(f"{title}\n\n{x}" if title else x for x in bodies for title in ("", *titles))]
 
 
+def digests_of(names: Iterable[str]) -> dict[str, str]:
+    return {hashlib.sha256(canonical_py(x).encode()).hexdigest(): name for name in names for x in spellings(name, KNOWN[name])}
+
+
 def known_digests() -> dict[str, str]:
-    return DIGESTS | {hashlib.sha256(canonical_py(x).encode()).hexdigest(): name for name, text in KNOWN.items() for x in spellings(name, text)}
+    return DIGESTS | digests_of(KNOWN)
+
+
+def notice_digests() -> dict[str, str]:
+    """Those of the known texts that are one line."""
+    return digests_of(name for name, text in KNOWN.items() if "\n" not in text and len(text) < 100)
+
+
+def known_table(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """digest, license_id: the built-in list and, if given, ``texts`` (license_id, text) by the digests of their canonical form."""
+    own = spark.createDataFrame(sorted(known_digests().items()), "digest string, license_id string")
+    return own if texts is None else own.unionByName(texts.select(digest(F.col("text")).alias("digest"), "license_id"))
+
+
+def digest(text: Column) -> Column:
+    return F.sha2(canonical(text).cast("binary"), 256)
+
+
+def head(text: Column) -> Column:
+    """The leading block, up to the first blank line; null if the text has no further one or its block names no licence."""
+    t = F.regexp_replace(text, r"^[ \t\r\n]+", "")
+    blocks = F.split(t, BLANK_LINE, 2)
+    return F.when((F.size(blocks) > 1) & blocks[0].rlike(HEAD_WORDS), blocks[0])
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, digest, license_id, notices for every row.
+def scan(docs: DataFrame, known: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """doc_id, digest, license_id, header_id, notices for every row.
 
-    ``license_id``: the licence that the entire text is, or null. ``notices``: known licences that single lines are,
-    sorted, without repeats; a line can only be one if it names a licence. Null and empty texts match nothing.
-    Repeated rows get equal answers; an empty table gives no row; further columns are not read.
+    ``known``: digest, license_id of the canonical texts to look for (``known_table`` makes it; without it, the built-in
+    list); of several names for a digest the first counts. ``license_id``: the licence that the entire text is, or null.
+    ``header_id``: the one that its leading block is, if more follows. Both come from a hash join, by broadcast while
+    the list is BROADCAST_ROWS at most. ``notices``: built-in notices that single lines are, sorted, without repeats; a
+    line can only be one if it names a licence. Null and empty texts match nothing. Repeated rows get equal answers; an
+    empty table gives no row; further columns are not read.
     """
-    known = known_digests()
-    table = docs.sparkSession.createDataFrame(sorted(known.items()), "digest string, license_id string")  # as many rows as licences
-    names = F.create_map(*(F.lit(x) for pair in sorted(known.items()) for x in pair))
+    known = (known_table(docs.sparkSession) if known is None else known).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    small = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = F.broadcast(known) if small else known
+    notices = F.create_map(*(F.lit(x) for pair in sorted(notice_digests().items()) for x in pair))
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike("(?i)licen[sc]e"))
-    found = F.transform(lines, lambda x: F.try_element_at(names, F.sha2(canonical(x).cast("binary"), 256)))
-    rows = docs.select("doc_id", F.sha2(canonical(F.col(text)).cast("binary"), 256).alias("digest"), F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))).alias("notices"))
-    return rows.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license_id", "notices")
+    found = F.transform(lines, lambda x: F.try_element_at(notices, digest(x)))
+    top = head(F.col(text))
+    rows = docs.select("doc_id", digest(F.col(text)).alias("digest"), F.when(top.isNotNull(), digest(top)).alias("head"), F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))).alias("notices"))
+    headers = known.select(F.col("digest").alias("head"), F.col("license_id").alias("header_id"))
+    headers = F.broadcast(headers) if small else headers
+    return rows.join(known, "digest", "left").join(headers, "head", "left").select("doc_id", "digest", "license_id", "header_id", "notices")

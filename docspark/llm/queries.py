@@ -101,14 +101,19 @@ def license_sql() -> str:
             x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(new.replace('$1', chr(92) + '1'))}, 'g')"
         return x
 
-    known = ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n in sorted(licenses.known_digests().items()))
+    def listed(found: dict[str, str]) -> str:
+        return ", ".join(f"({quoted(d)}, {quoted(n)})" for d, n in sorted(found.items()))
+
     return f"""
-WITH known(digest, license_id) AS (VALUES {known}),
-d AS (SELECT doc_id, sha256({canonical("coalesce(text, '')")}) AS digest, text FROM documents),
+WITH known(digest, license_id) AS (VALUES {listed(licenses.known_digests())}),
+notice(digest, license_id) AS (VALUES {listed(licenses.notice_digests())}),
+b AS (SELECT *, string_split_regex(regexp_replace(text, '^[ \\t\\r\\n]+', ''), {quoted(licenses.BLANK_LINE)}) AS blocks FROM documents),
+d AS (SELECT doc_id, sha256({canonical("coalesce(text, '')")}) AS digest, CASE WHEN len(blocks) > 1 AND regexp_matches(blocks[1], {quoted(licenses.HEAD_WORDS)}) THEN sha256({canonical("blocks[1]")}) END AS head FROM b),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 n AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list(license_id))), ',') AS notices
-      FROM l JOIN known ON known.digest = sha256({canonical("line")}) WHERE regexp_matches(line, '(?i)licen[sc]e') GROUP BY doc_id)
-SELECT d.doc_id, d.digest, known.license_id, coalesce(n.notices, '') AS notices FROM d LEFT JOIN known USING (digest) LEFT JOIN n ON n.doc_id = d.doc_id"""
+      FROM l JOIN notice ON notice.digest = sha256({canonical("line")}) WHERE regexp_matches(line, '(?i)licen[sc]e') GROUP BY doc_id)
+SELECT d.doc_id, d.digest, known.license_id, h.license_id AS header_id, coalesce(n.notices, '') AS notices
+FROM d LEFT JOIN known USING (digest) LEFT JOIN known h ON h.digest = d.head LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
 EXACT_SQL = f"""

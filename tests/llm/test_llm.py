@@ -61,6 +61,34 @@ def test_sharding(spark):
     assert sharding.shard(none(spark)).count() == 0
 
 
+def test_sharding_query_keeps_its_law(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = queries.op1_sharding(spark, SF).toPandas()
+    assert sorted(got["doc_id"]) == sorted(docs) and set(got["law"]) == {"bytes"} and got["grown_shard"].isna().all()
+    for r in got.to_dict("records"):
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert (r["size"], r["text_crc32"]) == (len(raw) + 16, zlib.crc32(raw))
+    for _, part in got.groupby("shard"):
+        assert sorted(part["slot"]) == list(range(len(part)))
+    sizes = got.groupby("shard")["size"].sum().reindex(range(40), fill_value=0)
+    assert (sizes - sizes.mean()).abs().max() <= got["size"].max()
+
+
+def test_sharding_splits_repeated_rows_and_grows_its_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_A_PART", 50)
+    seen, sql = [], type(none(spark)).groupBy
+
+    def watched(self, *columns):
+        if columns == ("range", "part"):
+            seen.append(max(r[2] for r in sql(self, *columns).agg(F.count("*")).collect()))
+        return sql(self, *columns)
+
+    monkeypatch.setattr(type(none(spark)), "groupBy", watched)
+    docs = spark.range(9000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.lit(7)).alias("doc_id"), F.lit("the same text").alias("text"))
+    got = sharding.shard(docs).toPandas()
+    assert seen[0] <= 120 and len(got) == 9000 and got.groupby("shard").size().tolist() == [225] * 40
+
+
 def test_boundaries_give_a_hot_key_its_own_range():
     cuts = sharding.boundaries([(5, 1.0)] * 90 + [(k, 1.0) for k in range(6, 16)], 10)
     assert 5 in cuts and 6 in cuts and cuts == sorted(set(cuts))
@@ -132,18 +160,86 @@ def test_packing_round_trip(spark):
     assert sum(len(ids) for _, ids in want) == pieces["length"].sum()
 
 
-def test_bm25_prefers_shared_rare_terms():
-    rows = [np.array(x) for x in ([1, 2, 3, 90, 91], [1, 2, 3, 90, 91], [1, 2, 3, 50], [1, 2, 3, 51], [1, 2, 3, 52], [4, 5])]
-    scores = packing.Bm25(rows).scores(0)
-    assert np.argmax(np.where(np.arange(6) == 0, -1, scores)) == 1
+def counted(ids):
+    return np.unique(np.array(ids), return_counts=True)
+
+
+def test_bm25_against_its_formula():
+    rnd = np.random.default_rng(2)
+    docs = [rnd.integers(0, 40, rnd.integers(0, 30)) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=40)
+    corpus = packing.Statistics(len(docs), sum(map(len, docs)), df)
+    index = packing.Bm25([(*counted(d), len(d)) for d in docs[:20]], corpus)
+    for seed in range(20):
+        for i, d in enumerate(docs[:20]):
+            want = 0.0
+            for t in set(docs[seed].tolist()) & set(d.tolist()):
+                tf = (d == t).sum()
+                want += max(0, np.log((60 - df[t] + 0.5) / (df[t] + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / (sum(map(len, docs)) / 60)))
+            assert abs(index.scores(seed)[i] - want) < 1e-9
+
+
+def test_packing_statistics_are_those_of_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(5)
+    tokens = packing.tokenized(docs, PATH, 1, "<u2")
+    got, coder = packing.statistics(tokens, 2), Tokenizer.from_file(PATH)
+    ids = [coder.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()]
+    assert (got.df == np.bincount(np.concatenate([np.unique(x).astype(int) for x in ids]), minlength=len(got.df))).all()
+    assert abs(got.mean - sum(len(x) + 1 for x in ids) / len(ids)) < 0.01
+
+
+def test_packing_puts_neighbours_side_by_side(spark):
+    rnd = random.Random(12)
+    topics = [[f"{rnd.choice('bcdfg')}{rnd.randrange(10**6)}" for _ in range(12)] for _ in range(150)]
+    rows = [(i, " ".join(rnd.choices(topics[i % 150], k=60)), None, None, None) for i in range(1500)]
+    pieces = packing.pack_documents(spark.createDataFrame(rows, DOCS).repartition(7), PATH, 1).toPandas()
+    together = pieces.groupby("sequence_id")["doc_id"].apply(lambda d: len(d) - len(set(x % 150 for x in d)))
+    assert together.sum() > 0.5 * len(pieces)
+
+
+def test_packing_choice_against_plain_version():
+    rnd = np.random.default_rng(4)
+    docs = [rnd.integers(2, 90, rnd.integers(1, 50)).astype("<u2") for _ in range(80)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=90)
+    corpus = packing.Statistics(80, sum(map(len, docs)), df)
+    packer = packing.Packer(64, 0, corpus)
+    for i, d in enumerate(docs):
+        packer.add(i, d, *counted(d))
+    packer.pack(0)
+    index = packing.Bm25([(*counted(d), len(d)) for d in docs], corpus)
+    rest, want, left = {i: 0 for i in range(80)}, [], sum(map(len, docs))
+    for seed in sorted(range(80), key=lambda i: -len(docs[i])):
+        if seed not in rest or left < 64:
+            continue
+        parts, room = [(seed, rest[seed])], 64 - len(docs[seed]) + rest.pop(seed)
+        near = sorted(rest, key=lambda i: (-index.scores(seed)[i], i))
+        while room:
+            i = next((i for i in near if len(docs[i]) - rest[i] <= room), near[0])
+            parts.append((i, rest[i]))
+            if (n := len(docs[i]) - rest[i]) <= room:
+                room -= n
+                del rest[i]
+                near.remove(i)
+            else:
+                rest[i] += room
+                room = 0
+        left -= 64
+        want.append(parts)
+    got = {}
+    for doc, start, _, _, sequence, _ in packer.out:
+        got.setdefault(sequence, []).append((doc, start))
+    assert list(got.values())[: len(want) - 1] == want[:-1]
 
 
 def test_packing_finds_long_documents_by_their_head():
-    rnd, packer = np.random.default_rng(3), packing.Packer(64, 0)
-    packer.add("long", np.array([*range(1000, 1064), *range(60)], "<u4"))
-    packer.add("near", np.array([1000, 1001, 1002, 1003], "<u4"))
-    for i in range(40):
-        packer.add(i, rnd.integers(0, 60, 4).astype("<u4"))
+    rnd, docs = np.random.default_rng(3), {}
+    docs["long"] = np.array([*range(1000, 1064), *range(60)], "<u2")
+    docs["near"] = np.array([1000, 1001, 1002, 1003], "<u2")
+    docs |= {i: rnd.integers(0, 60, 4).astype("<u2") for i in range(40)}
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs.values()]))
+    packer = packing.Packer(64, 0, packing.Statistics(len(docs), sum(map(len, docs.values())), df))
+    for doc, ids in docs.items():
+        packer.add(doc, ids, *counted(ids))
     packer.finish()
     (sequence,) = (s for doc, start, _, _, s, _ in packer.out if doc == "long" and start == 64)
     assert {doc for doc, _, _, _, s, _ in packer.out if s == sequence} == {"long", "near"}
@@ -172,6 +268,17 @@ def test_licenses_with_titles_and_long_texts(spark):
     assert [got[i] for i in range(len(texts))] == [name for name, _ in texts]
 
 
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_licenses_of_a_given_table_and_headers(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", most)
+    long = "Own Public License\n\n" + "You may use this, copy it and give it away, by the terms of this licence. " * 200
+    texts = spark.createDataFrame([("Own-1.0", long), ("Own-1.0-b", long), ("Short", "Use is free by this license, for all.")], "license_id string, text string")
+    apache = "/*\n * Copyright 2020 Someone\n *\n * " + KNOWN["Apache-2.0-header"].replace("\n\n", "\n *\n * ") + "\n */\n\npackage a;\n\nclass B {}"
+    rows = [(1, "Copyright (c) 2011 A\n" + long.upper().replace("LICENCE", "license"), None, None, None), (2, apache, None, None, None), (3, "# (c) 2011 A\n# Use is free by this licence -- for all\n\nx = 1\n", None, None, None), (4, long + "not", None, None, None), (5, KNOWN["MIT"], None, None, None), (6, "\n\n" + KNOWN["MIT-notice"] + "\n \nText", None, None, None)]
+    got = {r.doc_id: (r.license_id, r.header_id) for r in licenses.scan(spark.createDataFrame(rows, DOCS), licenses.known_table(spark, texts)).collect()}
+    assert got == {1: ("Own-1.0", None), 2: (None, "Apache-2.0-header"), 3: (None, "Short"), 4: (None, None), 5: ("MIT", None), 6: (None, "MIT-notice")}
+
+
 def test_exact_dedup_and_persistent_index(spark):
     got = exact.assign(odd(spark), exact.DigestIndex(spark)).collect()
     assert len(got) == len(ODD)

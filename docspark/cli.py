@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark import staging
 from docspark.functions.textfeat import estimate_tokens, parse_pages
 from docspark.operators import bench, cache, diagnose
 from docspark.plans import process
@@ -20,22 +21,24 @@ from docspark.sources import files
 
 def load(spark: SparkSession, path: str, spec: str | None) -> tuple[DataFrame, DataFrame]:
     """(diagnosed pages, text blocks) of the selected pages."""
-    objects = files.page_objects(spark, path)
-    if spec:
-        wanted = spark.range(1).select(parse_pages(F.lit(spec))).first()[0]
-        objects = objects.filter(F.col("page_number").isin(wanted)) if wanted else objects
-    stats = diagnose.object_stats(objects)
-    return diagnose.diagnose_pages(stats), files.text_blocks(objects)
+    wanted = spark.range(1).select(parse_pages(F.lit(spec))).first()[0] if spec else None
+    objects = files.page_objects(spark, path, wanted)
+    return diagnose.diagnose_pages(diagnose.object_stats(objects)), files.text_blocks(objects)
 
 
-def run(spark: SparkSession, args: argparse.Namespace, options: Options) -> tuple[process.Run, DataFrame]:
+def run(spark: SparkSession, args: argparse.Namespace, options: Options) -> tuple[process.Run, DataFrame, DataFrame]:
+    """(run, chunks, blocks). Pages go into the cache and are served from it; documents are laid out whole."""
     pages, blocks = load(spark, args.path, args.pages)
-    store = cache.PageCache(spark, args.cache) if getattr(args, "cache", None) else None
-    old = store.read() if store and store.exists() else None
-    done = process.run_pages(pages, blocks, args.width, args.height, old, None, options, lambda df: df.persist())
-    if store:
-        store.upsert(process.cache_rows(done, pages, options))
-    return done, process.document_chunks(done, options)
+    if getattr(args, "cache", None):
+        store = cache.PageCache(spark, args.cache)
+        served = process.run_pages(pages, blocks, args.width, args.height, store.read() if store.exists() else None, None, options)
+        store.upsert(process.cache_rows(served, pages, options))
+    if getattr(args, "strip_repeated", False):
+        done, chunks = process.run_pipeline(pages, blocks, args.width, args.height, None, options)
+    else:
+        done = process.run_document(pages, blocks, args.width, args.height, None, options)
+        chunks = process.document_chunks(done, options)
+    return done, staging.stage(chunks), blocks
 
 
 def cmd_diagnose(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -47,8 +50,8 @@ def cmd_diagnose(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def cmd_process(spark: SparkSession, args: argparse.Namespace) -> None:
     began = time.perf_counter()
-    done, chunks = run(spark, args, Options(mode=args.mode, dpi=args.dpi, merge_across_pages=args.merge_across_pages, strip_repeated=not args.no_strip_repeated))
-    files.to_json(process.documents(done, chunks)).write.mode("overwrite").text(f"{args.outdir}/document.json")
+    done, chunks, blocks = run(spark, args, Options(mode=args.mode, dpi=args.dpi, merge_across_pages=args.merge_across_pages, strip_repeated=not args.no_strip_repeated))
+    files.to_json(process.documents(done, chunks, blocks if args.include_blocks else None)).write.mode("overwrite").text(f"{args.outdir}/document.json")
     files.write_chunks(chunks, f"{args.outdir}/chunks.jsonl")
     files.write_texts(done.pages, f"{args.outdir}/document.txt")
     counts = {"pages_processed": done.pages.count(), "chunks": chunks.count(), "elapsed_seconds": round(time.perf_counter() - began, 2)}
@@ -57,7 +60,7 @@ def cmd_process(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def cmd_bench(spark: SparkSession, args: argparse.Namespace) -> None:
-    done, chunks = run(spark, args, Options(dpi=args.dpi))
+    done, chunks, _ = run(spark, args, Options(dpi=args.dpi))
     whole = done.pages.agg(F.coalesce(F.sum(estimate_tokens(F.col("text"))), F.lit(0))).first()[0]
     rows = bench.question_bench(chunks, bench.fixed_questions(spark, args.questions), whole, args.top_k, args.baseline_answer_tokens, args.rag_answer_tokens)
     files.to_json(rows).write.mode("overwrite").text(f"{args.outdir}/questions.jsonl")
@@ -81,7 +84,9 @@ def parser() -> argparse.ArgumentParser:
         if name == "process":
             p.add_argument("--mode", choices=["auto", "text_only", "ocr_only"], default="auto")
             p.add_argument("--merge-across-pages", action="store_true")
-            p.add_argument("--no-strip-repeated", action="store_true")
+            p.add_argument("--no-strip-repeated", action="store_true", help="no effect without --strip-repeated")
+            p.add_argument("--strip-repeated", action="store_true", help="leave out lines that repeat through a document")
+            p.add_argument("--include-blocks", action="store_true", help="list each page's blocks in document.json")
             p.add_argument("--cache", help="folder of the page cache")
         if name == "bench":
             p.add_argument("--top-k", type=int, default=4)

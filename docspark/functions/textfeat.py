@@ -7,9 +7,10 @@ from docspark.functions.chars import WS, compact, count, strip, words
 from docspark.functions.normalize import normalize_text
 
 DIGITS_FROM, DIGITS_TO = "۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "0123456789" * 2
+# The letters of a formula.
 FORMULA = r"^[A-Za-z0-9+\-=→×·⇌()\[\]γδθλµ]{2,}$"
-#: Phrases of download banners; a source's own marks are added by the caller.
-FOOTER_MARKS = ("دانلوداز", "وبسایت", "وبسايت", "اپليکيشن", "اپلیکیشن")
+# Phrases of download banners, without white space. The names of a source are added by the caller.
+FOOTER_MARKS = ("دانلوداز", "وبسایت", "وبسايت", "اپليکيشن", "اپلیکیشن", "اپلكيش")
 CHARS_PER_TOKEN = 3.2
 SENTENCE_END = rf"(?<=[.?!؟…]){WS}+|\n"
 

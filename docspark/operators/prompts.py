@@ -20,11 +20,17 @@ def render_chunk(page_start: Column, page_end: Column, source_method: Column, se
 
 
 def packed_prefix(rows: DataFrame, by: str, order: list[str], rendered: str = "rendered", budget: int = 6000) -> DataFrame:
-    """The rows of each group that fit: the first always, then as long as the budget lasts; the first miss ends it."""
+    """The rows of each group that fit: the first always, then as long as the budget lasts; the first miss ends it.
+
+    ``by`` and ``order`` identify a row. Only their values and the length go through the windows, and of those only as
+    many a group as could fit (each takes two characters at least), which Spark cuts before the shuffle; the texts
+    are joined to the few keys that stay.
+    """
     w = Window.partitionBy(by).orderBy(*order)
-    before = F.coalesce(F.sum(F.length(rendered) + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fits = rows.withColumn("_n", F.row_number().over(w)).withColumn("_end", before + F.length(rendered))
-    return fits.filter((F.col("_n") == 1) | (F.col("_end") <= budget)).drop("_end")
+    keys = rows.select(by, *order, F.length(rendered).alias("_len")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= budget // 2 + 2)
+    before = F.coalesce(F.sum(F.col("_len") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fits = keys.withColumn("_end", before + F.col("_len")).filter((F.col("_n") == 1) | (F.col("_end") <= budget))
+    return rows.join(fits.select(by, *order, "_n"), [by, *order])
 
 
 def pack_context(rows: DataFrame, by: str, order: list[str], rendered: str = "rendered", budget: int = 6000) -> DataFrame:

@@ -1,31 +1,48 @@
 """Lexical retrieval over chunks, for many queries at once."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions.textfeat import tokenize
+from docspark.staging import stage
+
+#: Rows of (query, token) up to which they are broadcast, some 100 bytes each; more take shuffled joins.
+BROADCAST_ROWS = 200_000
+
+
+def tokens(chunks: DataFrame, key: str = "chunk_id", text: str = "text", composed: bool = False) -> DataFrame:
+    return chunks.select(key, F.explode(tokenize(F.col(text), composed)).alias("token"))
 
 
 def term_frequencies(chunks: DataFrame, key: str = "chunk_id", text: str = "text", composed: bool = False) -> DataFrame:
-    tokens = chunks.select(key, F.explode(tokenize(F.col(text), composed)).alias("token"))
-    return tokens.groupBy(key, "token").agg(F.count("*").alias("tf"))
+    return tokens(chunks, key, text, composed).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
-def idf(frequencies: DataFrame, n_chunks: int) -> DataFrame:
-    return frequencies.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log((max(n_chunks, 1) + 1) / (F.col("df") + 0.5)))
+def idf(frequencies: DataFrame, n_chunks: int | Column) -> DataFrame:
+    """token, df, idf; ``n_chunks`` may be a scalar subquery, so that nothing is counted while the plan is built."""
+    n = F.greatest(F.lit(n_chunks) if isinstance(n_chunks, int) else n_chunks, F.lit(1))
+    return frequencies.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.log((n + 1) / (F.col("df") + 0.5)))
 
 
 def search(chunks: DataFrame, queries: DataFrame, k: int = 4, key: str = "chunk_id", text: str = "text", composed: bool = False) -> DataFrame:
     """query_id, chunk key, score and rank of the k best chunks with a positive score; ties go to the smaller key.
 
-    Only postings of query tokens are joined, and scores are pre-aggregated before they are ranked; query tokens
-    count with their multiplicity.
+    Texts are cut once: tokens that no query asks for are dropped before anything is shuffled, the others are staged
+    by chunk. So a chunk's scores for all queries are sums within a partition, and of each partition only the k best
+    of a query go on. Query tokens count with their multiplicity. The queries' tokens are broadcast while they are
+    BROADCAST_ROWS at most.
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("question"), composed)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    tf = term_frequencies(chunks, key, text, composed)
-    weighted = idf(tf.join(asked.select("token").distinct(), "token", "left_semi"), chunks.count())
-    postings = tf.join(weighted, "token")
-    hits = postings.join(asked, "token").groupBy("query_id", key).agg(F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("score"))
+    asked = stage(queries.select("query_id", F.explode(tokenize(F.col("question"), composed)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times")), "asked")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    wanted = tokens(chunks, key, text, composed).join(small(asked.select("token").distinct()), "token", "left_semi")
+    tf = stage(wanted.repartition(key).groupBy(key, "token").agg(F.count("*").alias("tf")), "postings")
+    weighted = asked.join(idf(tf, chunks.agg(F.count("*")).scalar()), "token")
+    postings = tf.repartition(key).join(small(weighted), "token")
+    hits = postings.groupBy("query_id", key).agg(F.sum(F.col("times") * (1 + F.log("tf")) * F.col("idf")).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
     return hits.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

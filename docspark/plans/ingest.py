@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docspark.functions.normalize import normalize_text
+from docspark.functions.textfeat import FOOTER_MARKS
 from docspark.operators import chunking, layout
 
 MODES = ("auto", "text_only", "ocr_only")
@@ -23,6 +25,10 @@ class Options:
     strip_repeated: bool = True
     min_text_chars: int = 40
     ocr_hybrid_pages: bool = False
+    #: Mark pages that fell back to OCR, and find them in the cache again; off, as in the reference.
+    fix_fallback: bool = False
+    keep_headings: bool = False
+    footer_marks: tuple[str, ...] = FOOTER_MARKS
 
     def __post_init__(self):
         if self.mode not in MODES:
@@ -43,25 +49,31 @@ def needs_fallback(status: Column, text: Column, options: Options) -> Column:
     return F.lit(options.mode == "auto") & (F.length(F.coalesce(text, F.lit(""))) < options.min_text_chars) & status.isin("text_ok", "text_plus_visual")
 
 
-def page_layout(blocks: DataFrame, width: float, height: float, source_method: str, keep_headings: bool = False, strip: bool = False) -> DataFrame:
-    """Regions of pages from blocks. Text blocks are normalized before layout, OCR text after it."""
+def page_lines(blocks: DataFrame, width: float, height: float, source_method: str, options: Options = Options()) -> DataFrame:
+    """Classified lines of pages in reading order. Text blocks are normalized before layout; of OCR blocks the text as it
+    was read decides, and the normalized one is carried beside it (``clean``)."""
     if source_method == "text":
         blocks = blocks.withColumn("text", normalize_text(F.col("text"))).filter("text != ''")
-    lines = layout.reading_order(layout.group_lines(layout.filter_blocks(blocks)), width)
-    lines = layout.strip_repeated(lines) if strip else lines
-    regions = layout.annotate_headings(layout.build_regions(layout.classify_lines(lines, height), keep_headings))
-    if source_method == "ocr":
-        regions = regions.withColumn("text", normalize_text(F.col("text"))).withColumn("heading_text", normalize_text(F.col("heading_text")))
+    else:
+        blocks = blocks.withColumn("clean", normalize_text(F.col("text")))
+    lines = layout.group_lines(layout.filter_blocks(blocks, options.footer_marks))
+    return layout.classify_lines(layout.reading_order(lines, width), height, options.footer_marks)
+
+
+def page_layout(blocks: DataFrame, width: float, height: float, source_method: str, options: Options = Options()) -> DataFrame:
+    """Regions of pages from blocks."""
+    lines = page_lines(blocks, width, height, source_method, options)
+    regions = layout.annotate_headings(layout.build_regions(lines, options.keep_headings))
     return regions.withColumn("source_method", F.lit(source_method))
 
 
 def ingest(routed: DataFrame, text_blocks: DataFrame, width: float, height: float, ocr: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options()) -> DataFrame:
     """Regions of all routed pages (document_id, page_number, route); ``ocr`` maps pages to blocks, and only its pages reach it."""
     page = ["document_id", "page_number"]
-    text = page_layout(text_blocks.join(routed.filter("route = 'text'").select(*page), page, "left_semi"), width, height, "text")
+    text = page_layout(text_blocks.join(routed.filter("route = 'text'").select(*page), page, "left_semi"), width, height, "text", options)
     if ocr is None:
         return text
-    return text.unionByName(page_layout(ocr(routed.filter("route = 'ocr'")), width, height, "ocr"))
+    return text.unionByName(page_layout(ocr(routed.filter("route = 'ocr'")), width, height, "ocr", options))
 
 
 def chunk_pages(regions: DataFrame, options: Options = Options()) -> DataFrame:
@@ -69,17 +81,15 @@ def chunk_pages(regions: DataFrame, options: Options = Options()) -> DataFrame:
     keyed = regions.withColumn("document_id", F.concat_ws("\x1f", "document_id", F.format_string("%09d", "page_number")))
     made = chunking.chunk_regions(keyed, False, options.reset_sections_per_page)
     parts = F.split("document_id", "\x1f")
-    from pyspark.sql.window import Window
-
     rows = made.withColumn("_key", F.col("document_id")).withColumn("document_id", parts[0])
     rows = rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("document_id").orderBy("_key", "chunk_index")) - 1)
     return rows.withColumn("chunk_id", F.format_string("%s-c%04d", "document_id", "chunk_index")).drop("_key")
 
 
-def job_rollup(results: DataFrame, job: str = "job_id") -> DataFrame:
-    """pages_done and the maps of method and status by page."""
+def job_rollup(results: DataFrame, job: str = "job_id", method: str = "route") -> DataFrame:
+    """pages_done and the maps of method and status by page: one row a job, whose pages its row holds."""
 
     def by_page(name: str) -> Column:
         return F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_number", name))))
 
-    return results.groupBy(job).agg(F.count("*").alias("pages_done"), by_page("route").alias("method_per_page"), by_page("status").alias("status_per_page"))
+    return results.groupBy(job).agg(F.count("*").alias("pages_done"), by_page(method).alias("method_per_page"), by_page("status").alias("status_per_page"))

@@ -1,6 +1,7 @@
 """Registered queries of the engine on the test tables, and the same in DuckDB SQL.
 
-The tables hold no Persian, so INJECTED puts Persian, broken and decorative lines before some texts, in both engines.
+The tables hold no Persian, so INJECTED puts Persian, broken and decorative lines before or behind some whole texts,
+in both engines.
 Blocks are made from lines wrapped at ten words: one line a band of the page, every fifth line as two blocks.
 """
 
@@ -174,7 +175,7 @@ def tf(spark, sf):
 
 def idf(spark, sf):
     rows = chunks(spark, sf)
-    return retrieval.idf(retrieval.term_frequencies(rows), rows.count()).withColumn("idf", F.round("idf", 4))
+    return retrieval.idf(retrieval.term_frequencies(rows), rows.agg(F.count("*")).scalar()).withColumn("idf", F.round("idf", 4))
 
 
 def lexical_topk(spark, sf):
@@ -268,17 +269,45 @@ def question_bench(spark, sf):
     return made.select("query_id", F.array_join(F.col("retrieved_pages").cast("array<string>"), ",").alias("pages"), "page_hit", F.col("pipeline_rag.context_tokens").alias("rag_tokens"), F.col("baseline.input_tokens").alias("baseline_tokens"), F.col("input_token_reduction_pct").alias("reduction"))
 
 
-def process_pages(spark, sf):
-    """Whole run over blocks of the documents: diagnosis, routes, text, fallback; OCR is read from the same blocks."""
+def _run_inputs(spark, sf):
+    """Diagnosed pages of the blocks, the blocks, and an OCR that reads the same blocks."""
     made = blocks(spark, sf)
     objects = made.groupBy("document_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_idx", "text"))), lambda x: x["text"]), "\n").alias("text"))
     stats = diagnose.text_stats(objects).withColumns({"checksum_sha256": F.sha2("text", 256), "image_count": (F.col("page_number") % 3).cast("int"), "image_area_ratio": F.lit(0.5), "drawing_count": F.lit(0)})
-    rows = diagnose.diagnose_pages(stats.drop("text"))
-    done = process.run_pages(rows, made, WIDTH, HEIGHT, None, lambda todo: made.join(todo, ["document_id", "page_number"], "left_semi"))
+    return diagnose.diagnose_pages(stats.drop("text")), made, lambda todo: made.join(todo, ["document_id", "page_number"], "left_semi")
+
+
+def process_pages(spark, sf):
+    """Whole run over blocks of the documents: diagnosis, routes, text, fallback and OCR."""
+    rows, made, ocr = _run_inputs(spark, sf)
+    done = process.run_pages(rows, made, WIDTH, HEIGHT, None, ocr, ingest.Options(fix_fallback=True))
     return done.pages.select("document_id", "page_number", "status", "source_method", "fallback_used", F.length("text").alias("n_chars"))
 
 
-_ALL = (object_stats, page_text, reading_order, question_bench, process_pages, page_text_stats, page_diagnosis, document_diagnosis, pages_with_status, normalize_text, persian_features, text_features, noise_block_filter, group_lines, column_count, line_types, regions_query, repeated_lines, strip_repeated, sentence_split, split_paragraph, chunk_regions, chunk_pages, parse_pages, document_id, token_estimate, scenario_cost, tf, idf, lexical_topk, render_chunk, pack_context, history_filter, build_messages, route_method, text_fallback, cache_hits, cache_misses, job_rollup, bench_summary)
+def ingest_job(spark, sf):
+    """A job for each document: its second and third pages, all pages of shorter documents."""
+    rows, made, ocr = _run_inputs(spark, sf)
+    jobs = documents(spark, sf).select(F.concat(F.lit("d"), "doc_id").alias("document_id"), F.array(F.lit(2), F.lit(3)).alias("pages"))
+    _, _, rollup = process.run_jobs(jobs, rows, made, WIDTH, HEIGHT, None, ocr)
+
+    def listed(name):
+        return F.array_join(F.transform(F.map_entries(name), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"])), ",").alias(name)
+
+    return rollup.select("document_id", "pages_done", listed("method_per_page"), listed("status_per_page"))
+
+
+def strip_pipeline(spark, sf):
+    """Texts of whole documents without their repeated lines."""
+    rows, made, ocr = _run_inputs(spark, sf)
+    run, _ = process.run_pipeline(rows, made, WIDTH, HEIGHT, ocr)
+    return run.pages.select("document_id", "page_number", "source_method", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
+
+
+def persian_text(spark, sf):
+    return documents(spark, sf).select("doc_id", N.normalize_persian_text(F.col("text")).alias("normalized"))
+
+
+_ALL = (object_stats, page_text, reading_order, question_bench, process_pages, ingest_job, strip_pipeline, persian_text, page_text_stats, page_diagnosis, document_diagnosis, pages_with_status, normalize_text, persian_features, text_features, noise_block_filter, group_lines, column_count, line_types, regions_query, repeated_lines, strip_repeated, sentence_split, split_paragraph, chunk_regions, chunk_pages, parse_pages, document_id, token_estimate, scenario_cost, tf, idf, lexical_topk, render_chunk, pack_context, history_filter, build_messages, route_method, text_fallback, cache_hits, cache_misses, job_rollup, bench_summary)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,7 @@
 import json
 import os
 import random
+import re
 import unicodedata
 
 import duckdb
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from docspark import cli, registry
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
-from docspark.operators import bench, cache, chunking, diagnose, layout, prompts
+from docspark.operators import bench, cache, chunking, diagnose, layout, prompts, retrieval
 from docspark.plans import ingest, process
 from docspark.sources import files
 from docspark.streaming import jobs
@@ -125,6 +126,124 @@ def test_chunk_regions(spark):
     assert [(c.page_start, c.page_end) for c in merged] == [(1, 2)]
 
 
+def plain_split(text, limit):
+    """The contract of paragraph splitting, sentence by sentence."""
+    if len(text) <= limit:
+        return [text]
+    out, open_ = [], ""
+    for s in filter(None, (x.strip() for x in re.split(r"(?<=[.?!؟…])\s+|\n", text))):
+        while len(s) > limit:
+            at = next((k for k in (s.rfind("،", 0, limit), s.rfind(" ", 0, limit)) if k >= limit // 2), limit)
+            out.append(open_ + s[:at].strip())
+            open_, s = "", s[at:].strip()
+        if s and open_ and len(open_) + 1 + len(s) > limit:
+            out.append(open_)
+            open_ = s
+        elif s:
+            open_ = f"{open_} {s}".strip()
+    return out + [open_] * bool(open_)
+
+
+def plain_chunks(regions, merge=False, reset=True, least=80, limit=900):
+    """(type, text, page_start, page_end, section, score) of one document's regions in order, by the rules of chunking."""
+    out, path, state = [], [], {"section": None, "heading": None, "buffer": [], "held": [], "page": None}
+
+    def emit(kind, group, section):
+        merged = []
+        for piece in plain_split(" ".join(r.text for r in group), limit):
+            if merged and len(merged[-1]) < least and len(merged[-1]) + 1 + len(piece) <= limit:
+                merged[-1] += " " + piece
+            else:
+                merged.append(piece)
+        out.extend((kind, t, group[0].page_number, group[-1].page_number, section, round(sum(r.score for r in group) / len(group), 4)) for t in merged)
+
+    def specials():
+        if state["held"]:
+            group, state["held"] = state["held"], []
+            emit("special", group, state["section"])
+
+    def flush():
+        group, state["buffer"] = state["buffer"], []
+        if group:
+            emit("special" if all(r.text.isascii() for r in group) else "paragraph", group, state["section"] or (state["heading"].text if state["heading"] else None))
+            state["heading"] = None
+            specials()
+        elif state["heading"]:
+            head, state["heading"] = state["heading"], None
+            emit("heading", [head], state["section"])
+
+    for r in regions:
+        used = sum(len(x.text) for x in state["buffer"])
+        if state["page"] not in (None, r.page_number) and not merge:
+            flush()
+            used = 0
+            if reset:
+                path.clear()
+                state.update(section=None, heading=None)
+        state["page"] = r.page_number
+        if r.role == "heading":
+            flush()
+            path[:] = path[: path.index(r.text) + 1] if r.text in path else [*path, r.text][-3:]
+            state.update(section=r.text, heading=r)
+        elif r.role == "special":
+            if state["buffer"] and used + len(r.text) + 1 <= limit and state["buffer"][-1].source_method == r.source_method:
+                state["buffer"].append(r)
+            else:
+                flush()
+                state["held"].append(r)
+        else:
+            if state["buffer"] and used + len(r.text) + 1 > limit:
+                flush()
+            state["buffer"].append(r)
+            if sum(len(x.text) for x in state["buffer"]) >= limit:
+                flush()
+    specials()
+    flush()
+    return out
+
+
+def test_split_against_plain_version():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        text, limit = "".join(rnd.choice("ab،  .!\n\t\xa0c") for _ in range(rnd.randrange(90))), rnd.randrange(4, 30)
+        assert chunking.split_paragraph(text, limit) == plain_split(text, limit)
+
+
+@pytest.fixture(scope="module")
+def sf_regions(spark):
+    return spark.createDataFrame(registry.regions(spark, SF).withColumn("source_method", F.lit("text")).collect())
+
+
+@pytest.mark.parametrize(("merge", "reset"), [(False, True), (True, True), (False, False)])
+def test_chunk_regions_against_plain_version(spark, sf_regions, merge, reset):
+    by_document = {}
+    for r in sorted(sf_regions.collect(), key=lambda r: (r.document_id, r.page_number, r.region_idx)):
+        by_document.setdefault(r.document_id, []).append(r)
+    got = {}
+    for r in sorted(chunking.chunk_regions(sf_regions, merge, reset).collect(), key=lambda r: (r.document_id, r.chunk_index)):
+        assert r.chunk_id == f"{r.document_id}-c{len(got.get(r.document_id, [])):04d}" and r.char_count == len(r.text)
+        got.setdefault(r.document_id, []).append((r.chunk_type, r.text, r.page_start, r.page_end, r.section, round(r.score, 4)))
+    assert got == {d: plain_chunks(rs, merge, reset) for d, rs in by_document.items()}
+    if not merge and reset:
+        want = {f"{d}-c{i:04d}": c for d, cs in got.items() for i, c in enumerate(cs)}
+        query = {r.chunk_id: r for r in registry.chunk_regions(spark, SF).collect()}
+        assert {k: (r.chunk_type, r.text, r.page_start, r.page_end, r.section) for k, r in query.items()} == {k: c[:-1] for k, c in want.items()}
+        assert all(abs(r.score - want[k][-1]) < 2e-4 for k, r in query.items())
+
+
+def test_chunk_pages_query_against_plain_version(spark, sf_regions):
+    want, numbers = {}, {}
+    pages = {}
+    for r in sorted(sf_regions.collect(), key=lambda r: (r.document_id, r.page_number, r.region_idx)):
+        pages.setdefault((r.document_id, r.page_number), []).append(r)
+    for (d, _), rs in pages.items():
+        for c in plain_chunks(rs):
+            want[f"{d}-c{numbers.get(d, 0):04d}"] = c[:4]
+            numbers[d] = numbers.get(d, 0) + 1
+    got = {r.chunk_id: (r.chunk_type, r.text, r.page_start, r.page_end) for r in registry.chunk_pages(spark, SF).collect()}
+    assert got == want
+
+
 def test_chunk_bodiless_heading_and_special(spark):
     got = chunked(spark, [(1, "heading", "alef"), (1, "heading", "be"), (1, "special", "x" * 20)])
     assert [c.chunk_type for c in got] == ["heading", "heading", "special"]
@@ -183,6 +302,8 @@ def test_text_layer_blocks(spark):
     kind = "document_id string, page_number int, blocks array<struct<type:int,bbox:array<double>,lines:array<struct<bbox:array<double>,spans:array<struct<text:string>>>>>>"
     got = files.text_blocks(spark.createDataFrame([(page,)], "v string").select(F.from_json("v", kind).alias("p")).select("p.*")).collect()
     assert [(r.text, r.l, r.r) for r in got] == [("یک دو", 0.0, 9.0)]
+    many = spark.range(1).select(F.lit("d").alias("document_id"), F.lit(1).alias("page_number"), F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.struct(F.lit(0).alias("type"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("bbox"), F.array(F.struct(F.lit(None).cast("array<double>").alias("bbox"), F.array(F.struct(i.cast("string").alias("text"))).alias("spans"))).alias("lines"))).alias("blocks"))
+    assert files.text_blocks(many).agg(F.max("block_idx"), F.count("*")).first() == (29_999, 30_000)
 
 
 LINE = "متن فارسی بلند برای آزمون که چند واژه دارد"
@@ -197,18 +318,112 @@ def test_run_pages_serves_cache_text_fallback_and_ocr(spark, tmp_path):
     store.upsert(spark.createDataFrame([("d", 5, "cached", "s", 200, "text"), ("d", 1, "old", "other", 200, "text")], "document_id string, page_no int, text string, checksum_sha256 string, dpi int, source_method string"))
     done = process.run_pages(pages, blocks, 595.0, 842.0, store.read(), seen)
     got = {r.page_number: (r.source_method, r.cache_hit, r.fallback_used, r.text) for r in done.pages.collect()}
-    assert got == {1: ("text", False, False, LINE), 2: ("ocr", False, False, LINE), 3: ("text", False, False, ""), 4: ("ocr", False, True, LINE), 5: ("text", True, False, "cached")}
+    assert got == {1: ("text", False, False, LINE), 2: ("ocr", False, False, LINE), 3: ("ocr", False, False, ""), 4: ("ocr", False, False, LINE), 5: ("text", True, False, "cached")}
     assert sorted(r.page_no for r in process.cache_rows(done, pages).collect()) == [1, 2, 4]
     store.upsert(process.cache_rows(done, pages))
     again = process.run_pages(pages, blocks, 595.0, 842.0, store.read(), seen)
     assert {r.page_number for r in again.pages.filter("cache_hit").collect()} == {1, 2, 5}  # a page that fell back is stored as OCR and routed to text, so it is done again
+    fixed = process.run_pages(pages, blocks, 595.0, 842.0, store.read(), seen, ingest.Options(fix_fallback=True))
+    assert {r.page_number for r in fixed.pages.filter("cache_hit").collect()} == {1, 2, 4, 5}
+    first = process.run_pages(pages, blocks, 595.0, 842.0, None, seen, ingest.Options(fix_fallback=True))
+    assert [r.page_number for r in first.pages.filter("fallback_used").collect()] == [4]
     whole = process.documents(done, process.document_chunks(done)).first()
     assert len(whole.pages) == 5 and whole.method_per_page["4"] == "ocr" and len(whole.chunks) == 3
     none = process.run_pages(pages.limit(0), blocks, 595.0, 842.0, None, seen)
     assert none.pages.count() == 0 and process.job_chunks(none).count() == 0
+    assert {r.page_number for r in process.run_document(pages, blocks, 595.0, 842.0, seen, ingest.Options(mode="ocr_only")).pages.collect()} == {1, 2, 4, 5}
     assert {r.page_number for r in process.run_pages(pages, blocks, 595.0, 842.0, options=ingest.Options(mode="ocr_only"), ocr=seen).pages.filter("source_method = 'ocr'").collect()} == {1, 2, 3, 4, 5}
 
 
+def test_run_job(spark):
+    pages = spark.createDataFrame([("d", n, "s", "text_ok", "text_extract_sorted") for n in (1, 2, 3)] + [("e", 1, "s", "text_ok", "text_extract_sorted")], IDENTITY)
+    blocks = spark.createDataFrame([(d, n, 0, f"{LINE} {n}0000", 1.0, 0.0, 10.0, 400.0, 20.0) for d in "de" for n in (1, 2, 3)], files.BLOCKS)
+    for asked, want in (((2, 3, 2), [2, 3]), ((), [1, 2, 3]), ((9,), [1, 2, 3])):
+        run, chunks, rollup = process.run_job(process.Job("d", asked), pages, blocks, 595.0, 842.0)
+        assert sorted((r.document_id, r.page_number) for r in run.pages.collect()) == [("d", n) for n in want]
+        assert [(r.chunk_id, r.page_start) for r in chunks.orderBy("chunk_index").collect()] == [(f"d-c{i:04d}", n) for i, n in enumerate(want)]
+        r = rollup.first()
+        assert (r.pages_done, r.chunk_count, r.method_per_page, r.status_per_page) == (len(want), len(want), {n: "text" for n in want}, {n: "text_ok" for n in want})
+    ocr = process.run_job(process.Job("d", mode="ocr_only"), pages, blocks, 595.0, 842.0, ocr=lambda todo: blocks.join(todo, ["document_id", "page_number"], "left_semi"))
+    assert {r.source_method for r in ocr[0].pages.collect()} == {"ocr"}
+
+
+def test_run_pipeline_strips_repeated_lines(spark):
+    n_pages = 5
+    pages = spark.createDataFrame([("d", n, "s", "text_ok", "text_extract_sorted") for n in range(1, n_pages + 1)], IDENTITY)
+    rows = [("d", n, i, text, 1.0, 0.0, 20.0 + 14 * i, 400.0, 32.0 + 14 * i) for n in range(1, n_pages + 1) for i, text in enumerate((f"{LINE} {'الف' * n}", "سرصفحه کتاب شیمی و فیزیک دبیرستان برای همه", f"پایان {LINE} {'ب' * n}"))]
+    blocks = spark.createDataFrame(rows, files.BLOCKS)
+    run, chunks = process.run_pipeline(pages, blocks, 595.0, 842.0)
+    assert {r.page_number: r.text for r in run.pages.collect()} == {n: f"{LINE} {'الف' * n} پایان {LINE} {'ب' * n}" for n in range(1, n_pages + 1)}
+    assert all("سرصفحه" not in c.text for c in chunks.collect()) and chunks.count() == n_pages
+    kept, _ = process.run_pipeline(pages, blocks, 595.0, 842.0, options=ingest.Options(strip_repeated=False))
+    assert all("سرصفحه" in r.text for r in kept.pages.collect())
+    few, _ = process.run_pipeline(pages.filter("page_number < 4"), blocks.filter("page_number < 4"), 595.0, 842.0)
+    assert all("سرصفحه" in r.text for r in few.pages.collect())
+
+
+def test_ocr_engine_is_built_once_a_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def factory():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda image: [(LINE, 0.9, 0.0, 10.0, 400.0, 20.0)]
+
+    images = spark.range(64).select(F.lit("d").alias("document_id"), F.col("id").cast("int").alias("page_number"), F.lit(b"x").alias("image"))
+    for parts in (16, 8):
+        assert files.ocr_blocks(images.repartition(parts), factory).count() == 64
+    built = [f.split("-")[0] for f in os.listdir(folder)]
+    assert len(built) == len(set(built)) < 16
+
+
+def test_footer_marks_of_a_caller(spark):
+    text = F.lit("یادداشت از نشر نمونه")
+    assert not spark.range(1).select(T.looks_like_footer(text)).first()[0]
+    assert spark.range(1).select(T.looks_like_footer(text, (*T.FOOTER_MARKS, "نشرنمونه"))).first()[0]
+    assert spark.range(1).select(T.looks_like_footer(F.lit("دريافت اپلكيشن"))).first()[0]
+    blocks = spark.createDataFrame([("d", 1, 0, LINE, 1.0, 0.0, 10.0, 400.0, 20.0), ("d", 1, 1, "یادداشت از نشر نمونه", 1.0, 0.0, 30.0, 400.0, 40.0)], files.BLOCKS)
+    found = ingest.page_layout(blocks, 595.0, 842.0, "text", ingest.Options(footer_marks=("نشرنمونه",)))
+    assert [r.text for r in found.collect()] == [LINE]
+
+
+@pytest.mark.parametrize(("ending", "kind"), [*((t, "body") for t in layout.SENTENCE_TAILS), ("میشود", "body"), ("مى شود ", "body"), ("مي باشند", "heading"), ("می\u200cگردد", "heading"), ("کتاب", "heading")])
+def test_sentence_tails_are_body(spark, ending, kind):
+    lines = spark.createDataFrame([("d", 1, 1, f"واژه دیگر {ending}", 100.0, 10.0, 200.0, 22.0, 0.9, 0.9, 1), ("d", 1, 2, LINE, 100.0, 40.0, 500.0, 52.0, 0.9, 0.9, 2)], "document_id string, page_number int, line_id int, text string, l double, t double, r double, b double, min_score double, mean_score double, position int")
+    assert layout.classify_lines(lines, 842.0).filter("line_id = 1").first().line_type == kind
+
+
+def test_search_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} common text {i}") for i in range(200)], "chunk_id long, text string")
+    queries = spark.createDataFrame([(1, "word3 word4"), (2, "common text"), (3, "nothing here"), (4, "word1 word1 42")], "query_id long, question string")
+    want = sorted(map(tuple, retrieval.search(chunks, queries).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 1)
+    assert sorted(map(tuple, retrieval.search(chunks, queries).collect())) == want and len(want) == 12
+
+
+def test_page_objects_of_folders_and_selections(spark, tmp_path):
+    rows = [{"document_id": d, "page_number": n, "text_blocks": [f" {d}{n} ", " ", "يك"], "blocks": []} for d, most in (("a", 5), ("b", 1)) for n in range(1, most + 1)]
+    for i, r in enumerate(rows):
+        (tmp_path / f"{i}.jsonl").write_text(json.dumps(r) + "\n")
+    for path in (str(tmp_path), f"{tmp_path}/*.jsonl"):
+        assert sorted((r.document_id, r.page_number) for r in files.page_objects(spark, path, [2, 4]).collect()) == [("a", 2), ("a", 4), ("b", 1)]
+    objects = files.page_objects(spark, str(tmp_path))
+    objects.write.parquet(str(tmp_path / "p"))
+    assert files.page_objects(spark, str(tmp_path / "p"), [7]).count() == 6
+    assert sorted(r.text for r in files.plain_page_text(objects.filter("document_id = 'a' AND page_number < 3")).collect()) == ["a1\n\nیک", "a2\n\nیک"]
+
+
+def test_records_are_read_back(spark, tmp_path):
+    made = chunked(spark, [(1, "body", "متن " * 40)])
+    files.write_chunks(spark.createDataFrame(made, chunking.COLUMNS), str(tmp_path / "c"))
+    assert files.read_json(spark, str(tmp_path / "c"), "chunk").select(*(c.split()[0] for c in chunking.COLUMNS.split(", "))).collect() == made
+    (tmp_path / "bad.json").write_text("no record\n")
+    with pytest.raises(Exception, match="MALFORMED|alformed"):
+        files.read_json(spark, str(tmp_path / "bad.json"), "page").collect()
+
+
 def test_object_stats(spark):
     kind = "width double, height double, raw_text string, text_blocks array<string>, image_rect_areas array<double>"
     rows = [(10.0, 10.0, "ab\ufffd", ["x", " \u00a0"], [30.0, -20.0]), (10.0, 10.0, None, None, [500.0]), (0.0, 10.0, "", [], None)]
@@ -240,5 +455,8 @@ def test_command_line(spark, tmp_path):
     for _ in range(2):
         assert cli.main(["process", source, "--outdir", str(tmp_path / "b"), "--cache", str(tmp_path / "c")]) == 0
     assert json.loads((tmp_path / "b/bench.json").read_text())["pages_processed"] == 3
+    assert cli.main(["process", source, "--outdir", str(tmp_path / "f"), "--include-blocks", "--strip-repeated", "--pages", "2"]) == 0
+    (page,) = json.loads(spark.read.text(str(tmp_path / "f/document.json")).first().value)["pages"]
+    assert page["page_number"] == 2 and [b["text"] for b in page["blocks"]] == [LINE] and page["text"] == LINE
     assert cli.main(["bench", source, "--outdir", str(tmp_path / "e")]) == 0
     assert json.loads((tmp_path / "e/token_benchmark.json").read_text())["questions"] == 5

@@ -34,7 +34,8 @@ def run(spark: SparkSession, args: argparse.Namespace, options: Options) -> tupl
         served = process.run_pages(pages, blocks, args.width, args.height, store.read() if store.exists() else None, None, options)
         store.upsert(process.cache_rows(served, pages, options))
     if getattr(args, "strip_repeated", False):
-        done, chunks = process.run_pipeline(pages, blocks, args.width, args.height, None, options)
+        made = process.run_pipeline(pages, blocks, args.width, args.height, None, options)
+        done, chunks = made.run, made.chunks
     else:
         done = process.run_document(pages, blocks, args.width, args.height, None, options)
         chunks = process.document_chunks(done, options)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,17 @@ def usage(context: Column, question: Column, answer: int, prices: Prices = Price
     )
 
 
-def question_bench(chunks: DataFrame, questions: DataFrame, baseline_tokens: int, k: int = 4, baseline_answer: int = 350, rag_answer: int = 300, prices: Prices = Prices()) -> DataFrame:
+#: What retrieval is to the rest: (chunks, questions, k) to query_id, chunk_id, score, rank.
+Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def question_bench(chunks: DataFrame, questions: DataFrame, baseline_tokens: int, k: int = 4, baseline_answer: int = 350, rag_answer: int = 300, prices: Prices = Prices(), retriever: Retriever = search) -> DataFrame:
     """A row per question: retrieved_pages, page_hit, baseline, pipeline_rag and input_token_reduction_pct.
 
     ``chunks``: chunk_id, text, page_start, page_end; ``questions``: query_id, question, expected_pages. A question
     without a hit has no pages and an empty context.
     """
-    hits = search(chunks, questions, k).join(chunks.select("chunk_id", F.length("text").alias("n"), "page_start", "page_end"), "chunk_id")
+    hits = retriever(chunks, questions, k).join(chunks.select("chunk_id", F.length("text").alias("n"), "page_start", "page_end"), "chunk_id")
     found = hits.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("page_start", "page_end"))))).alias("retrieved_pages"), (F.sum("n") + 2 * (F.count("*") - 1)).alias("n"))  # k rows a question
     rows = questions.join(found, "query_id", "left").withColumn("retrieved_pages", F.coalesce("retrieved_pages", F.array().cast("array<int>")))
     n = F.coalesce("n", F.lit(0))

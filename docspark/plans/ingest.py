@@ -25,6 +25,10 @@ class Options:
     strip_repeated: bool = True
     min_text_chars: int = 40
     ocr_hybrid_pages: bool = False
+    #: For the preprocessing of page images, by the caller's OCR.
+    grayscale: bool = False
+    contrast: float = 1.0
+    sharpen: bool = False
     #: Mark pages that fell back to OCR, and find them in the cache again; off, as in the reference.
     fix_fallback: bool = False
     keep_headings: bool = False
@@ -35,6 +39,20 @@ class Options:
             raise ValueError(f"mode must be one of {MODES}")
 
 
+@dataclass(frozen=True)
+class PipelineConfig:
+    """Options of the older whole-document entry point."""
+
+    dpi: int = 200
+    grayscale: bool = False
+    contrast: float = 1.0
+    sharpen: bool = False
+    strip_repeated: bool = True
+
+    def to_options(self) -> Options:
+        return Options(dpi=self.dpi, strip_repeated=self.strip_repeated, grayscale=self.grayscale, contrast=self.contrast, sharpen=self.sharpen)
+
+
 def route(status: Column, method: Column, options: Options) -> Column:
     if options.mode == "text_only":
         return F.lit("text")

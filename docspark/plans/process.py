@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from docspark import staging
 from docspark.operators import cache as caching
 from docspark.operators import chunking
-from docspark.operators.layout import PAGE, annotate_headings, build_regions, stripped_regions
+from docspark.operators.layout import PAGE, annotate_headings, build_regions, repeated_texts, stripped_regions
 from docspark.plans.ingest import Options, chunk_pages, job_rollup, needs_fallback, page_lines, route
 
 RESULT = (*PAGE, "status", "source_method", "text", "cache_hit", "fallback_used")
@@ -27,6 +27,15 @@ class Run:
     lines: DataFrame | None = None
 
 
+@dataclass(frozen=True)
+class PipelineRun:
+    """A whole-document run: ``run``, its ``chunks``, and the ``repeated`` texts (document_id, text) that were left out."""
+
+    run: Run
+    chunks: DataFrame
+    repeated: DataFrame
+
+
 @dataclass(frozen=True)
 class Job:
     """A unit of ingest work, as a queue holds it."""
@@ -109,18 +118,19 @@ def run_document(pages: DataFrame, blocks: DataFrame, width: float, height: floa
     return _laid_out(todo.select(*PAGE, "status", "source_method"), blocks, width, height, ocr, options, stage)
 
 
-def run_pipeline(pages: DataFrame, blocks: DataFrame, width: float, height: float, ocr: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options(), stage: Callable[[DataFrame], DataFrame] = staging.stage) -> tuple[Run, DataFrame]:
-    """(run, chunks) of whole documents, without the lines that repeat through documents of 4 pages or more.
+def run_pipeline(pages: DataFrame, blocks: DataFrame, width: float, height: float, ocr: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options(), stage: Callable[[DataFrame], DataFrame] = staging.stage) -> PipelineRun:
+    """Whole documents without the lines that repeat through documents of 4 pages or more, and their chunks.
 
     With ``strip_repeated`` off, it is run_document and its chunks.
     """
     run = run_document(pages, blocks, width, height, ocr, options, stage)
+    repeated = repeated_texts(run.lines.select(*PAGE, F.col("clean").alias("text")))
     if options.strip_repeated:
         left = stage(stripped_regions(run.lines, options.keep_headings).join(run.pages.select(*PAGE, "source_method"), list(PAGE)))
         keys = [c for c in run.pages.columns if c != "text"]
         texts = run.pages.select(*keys).join(page_text(left), list(PAGE), "left").withColumn("text", F.coalesce("text", F.lit("")))
         run = Run(texts.select(*run.pages.columns), left, run.lines)
-    return run, document_chunks(run, options)
+    return PipelineRun(run, document_chunks(run, options), repeated if options.strip_repeated else repeated.limit(0))
 
 
 def selected(pages: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -299,8 +299,8 @@ def ingest_job(spark, sf):
 def strip_pipeline(spark, sf):
     """Texts of whole documents without their repeated lines."""
     rows, made, ocr = _run_inputs(spark, sf)
-    run, _ = process.run_pipeline(rows, made, WIDTH, HEIGHT, ocr)
-    return run.pages.select("document_id", "page_number", "source_method", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
+    done = process.run_pipeline(rows, made, WIDTH, HEIGHT, ocr, ingest.PipelineConfig().to_options())
+    return done.run.pages.select("document_id", "page_number", "source_method", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
 
 
 def persian_text(spark, sf):

@@ -239,7 +239,7 @@ def to_json(rows: DataFrame) -> DataFrame:
 
 #: Fields of the records that the JSON sinks write.
 RECORDS = {
-    "chunk": "document_id string, chunk_index int, chunk_id string, chunk_type string, text string, page_start int, page_end int, section string, section_path array<string>, bbox array<double>, score double, char_count int, source_method string, language string, engine_version string, normalized boolean",
+    "chunk": "document_id string, chunk_index int, chunk_id string, chunk_type string, text string, page_start int, page_end int, section string, section_path array<string>, bbox array<double>, page_bboxes map<string,array<double>>, score double, char_count int, source_method string, language string, engine_version string, normalized boolean",
     "page": "document_id string, page_number int, status string, source_method string, text string, cache_hit boolean, fallback_used boolean",
     "diagnosis": "document_id string, page_count long, n_text_ok long, n_text_plus_visual long, n_text_broken long, n_scanned long, n_empty long, dominant_status string, method string",
     "region": "document_id string, page_number int, region_idx int, role string, text string, l double, t double, r double, b double, score double, n_lines long, heading_text string, source_method string",

@@ -353,12 +353,14 @@ def test_run_pipeline_strips_repeated_lines(spark):
     pages = spark.createDataFrame([("d", n, "s", "text_ok", "text_extract_sorted") for n in range(1, n_pages + 1)], IDENTITY)
     rows = [("d", n, i, text, 1.0, 0.0, 20.0 + 14 * i, 400.0, 32.0 + 14 * i) for n in range(1, n_pages + 1) for i, text in enumerate((f"{LINE} {'الف' * n}", "سرصفحه کتاب شیمی و فیزیک دبیرستان برای همه", f"پایان {LINE} {'ب' * n}"))]
     blocks = spark.createDataFrame(rows, files.BLOCKS)
-    run, chunks = process.run_pipeline(pages, blocks, 595.0, 842.0)
+    done = process.run_pipeline(pages, blocks, 595.0, 842.0)
+    run, chunks = done.run, done.chunks
+    assert [tuple(r) for r in done.repeated.collect()] == [("d", "سرصفحه کتاب شیمی و فیزیک دبیرستان برای همه")]
     assert {r.page_number: r.text for r in run.pages.collect()} == {n: f"{LINE} {'الف' * n} پایان {LINE} {'ب' * n}" for n in range(1, n_pages + 1)}
     assert all("سرصفحه" not in c.text for c in chunks.collect()) and chunks.count() == n_pages
-    kept, _ = process.run_pipeline(pages, blocks, 595.0, 842.0, options=ingest.Options(strip_repeated=False))
+    kept = process.run_pipeline(pages, blocks, 595.0, 842.0, options=ingest.PipelineConfig(strip_repeated=False).to_options()).run
     assert all("سرصفحه" in r.text for r in kept.pages.collect())
-    few, _ = process.run_pipeline(pages.filter("page_number < 4"), blocks.filter("page_number < 4"), 595.0, 842.0)
+    few = process.run_pipeline(pages.filter("page_number < 4"), blocks.filter("page_number < 4"), 595.0, 842.0).run
     assert all("سرصفحه" in r.text for r in few.pages.collect())
 
 
@@ -431,6 +433,12 @@ def test_object_stats(spark):
     assert [(r.char_count, r.replacement_char_count, r.text_block_count, r.image_area_ratio) for r in got] == [(3, 1, 1, 0.5), (0, 0, 0, 1.0), (0, 0, 0, 0.0)]
 
 
+def test_question_bench_takes_any_retriever(spark):
+    chunks = spark.createDataFrame([("c1", "a", 5, 6), ("c2", "b", 9, 9)], "chunk_id string, text string, page_start int, page_end int")
+    found = bench.question_bench(chunks, bench.fixed_questions(spark), 5000, retriever=lambda chunks, asked, k: asked.select("query_id", F.lit("c2").alias("chunk_id"), F.lit(1.0).alias("score"), F.lit(1).alias("rank")))
+    assert [r.page_hit for r in found.orderBy("query_id").collect()] == [False, False, False, False, True]
+
+
 def test_question_bench_without_hits(spark):
     chunks = spark.createDataFrame([("c1", "اوزون گاز است " * 5, 5, 6), ("c2", "آهن فلز است", 1, 1)], "chunk_id string, text string, page_start int, page_end int")
     rows_ = {r.query_id: r for r in bench.question_bench(chunks, bench.fixed_questions(spark), 5000).collect()}

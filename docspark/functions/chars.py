@@ -4,6 +4,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Ends a try at most letters at once, where the classes above would be gone through range by range.
+_NOT_SPACE = r"(?![!-~\x{a1}-\x{167f}])"
+ONE_SPACE, SPACE_RUN = _NOT_SPACE + WS, f"{_NOT_SPACE}{WS}+"
 PERSIAN = r"[\x{600}-\x{6ff}\x{750}-\x{77f}\x{fb50}-\x{fdff}\x{fe70}-\x{feff}]"
 PERSIAN_NO_FORMS_B = r"[\x{600}-\x{6ff}\x{750}-\x{77f}\x{fb50}-\x{fdff}]"
 PRIVATE, REPLACED, CONTROL = r"[\x{e000}-\x{f8ff}]", r"\x{fffd}", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -12,7 +15,8 @@ FORMS = r"[\x{fb50}-\x{fdff}\x{fe70}-\x{feff}]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    outer = F.left(text, F.lit(1)).rlike(WS) | F.right(text, F.lit(1)).rlike(WS)
+    return F.when(outer, F.regexp_replace(text, f"^{WS}+|{SPACE_RUN}$", "")).otherwise(text)
 
 
 def count(text: Column, pattern: str) -> Column:
@@ -20,8 +24,8 @@ def count(text: Column, pattern: str) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
 
 
 def compact(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WS}+", "")
+    return F.regexp_replace(text, SPACE_RUN, "")

@@ -9,16 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docspark.functions.chars import FORMS, PERSIAN, WS, count, strip
+from docspark.functions.chars import FORMS, ONE_SPACE, PERSIAN, SPACE_RUN, count, strip
 
 #: May hold something that NFC changes: marks, jamo, singletons, compatibility ideographs.
-UNCOMPOSED = r"[\p{M}\x{340}-\x{37f}\x{387}\x{1100}-\x{11ff}\x{1f00}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]"
-#: Letters, digits and marks folded in one pass; the source characters without a counterpart (tatweel) vanish.
-FOLD_FROM = "يىكأإؤئةۀ" + "۰۱۲۳۴۵۶۷۸۹" + "٠١٢٣٤٥٦٧٨٩" + "،؛؟٬٫" + "ـ"
+UNCOMPOSED = r"(?![\x00-\x{bf}])[\p{M}\x{340}-\x{37f}\x{387}\x{1100}-\x{11ff}\x{1f00}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]"
+#: Characters that go: invisible ones, diacritics, tatweel.
+GONE = "".join(map(chr, (0x200B, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2066, 0x206A), *range(0x64B, 0x660), 0x670, 0x640)))
+#: Letters, digits and marks folded one for one; the characters that go stand behind them without a counterpart.
+FOLD_FROM = "يىكأإؤئةۀ" + "۰۱۲۳۴۵۶۷۸۹" + "٠١٢٣٤٥٦٧٨٩" + "،؛؟٬٫" + GONE
 FOLD_TO = "ییکااویهه" + "0123456789" * 2 + ",;?,."
-UNSEEN = r"[\x{200b}\x{200e}\x{200f}\x{202a}-\x{202e}\x{2066}-\x{2069}]"
-DIACRITICS = r"[\x{64b}-\x{65f}\x{670}]"
-BEFORE_MARK = WS + r"+([,:.!،؛؟])"
+BEFORE_MARK = SPACE_RUN + r"([,:.!،؛؟])"
 SPACES = r"[ \t\x{a0}\x{2000}-\x{200a}]+"
 
 
@@ -48,9 +48,8 @@ def fold_forms(text: Column) -> Column:
 def normalize_text(text: Column, composed: bool = False) -> Column:
     """The whole chain; null stays null. ``composed``: the input is known to be in NFC, no Python is planned."""
     t = fold_forms(text if composed else nfc(text))
-    t = F.regexp_replace(t, UNSEEN, "")
-    t = F.regexp_replace(F.translate(t, FOLD_FROM, FOLD_TO), DIACRITICS, "")
-    t = F.regexp_replace(F.regexp_replace(t, BEFORE_MARK, "$1"), SPACES, " ")
+    t = F.regexp_replace(F.translate(t, FOLD_FROM, FOLD_TO), BEFORE_MARK, "$1")
+    t = F.regexp_replace(t, SPACES, " ")
     return strip(t)
 
 
@@ -67,7 +66,7 @@ def has_persian(text: Column) -> Column:
 
 
 def persian_letter_ratio(text: Column) -> Column:
-    return F.coalesce(count(text, PERSIAN) / F.nullif(F.length(text) - count(text, WS), F.lit(0)), F.lit(0.0))
+    return F.coalesce(count(text, PERSIAN) / F.nullif(F.length(text) - count(text, ONE_SPACE), F.lit(0)), F.lit(0.0))
 
 
 def is_mostly_persian(text: Column, threshold: float = 0.35) -> Column:

@@ -20,32 +20,34 @@ def looks_like_formula(text: Column) -> Column:
     return (F.length(t) <= 60) & (t.rlike(FORMULA) & t.rlike("[0-9]") | t.rlike("[A-Z][a-z]?[0-9]") & t.rlike("[+=→⇌-]"))
 
 
-def looks_like_english(text: Column) -> Column:
-    t = compact(text)
+def looks_like_english(text: Column, c: Column | None = None) -> Column:
+    t = compact(text) if c is None else c
     letters = count(t, "[A-Za-z]")
     return t.rlike(r"^[\x00-\x7f]*$") & (letters >= 3) & (10 * letters >= 7 * F.length(t))
 
 
-def letter_spam_ratio(text: Column) -> Column:
-    w = words(text)
+def letter_spam_ratio(text: Column, w: Column | None = None) -> Column:
+    """``w``: the text's words, if they are at hand; so below."""
+    w = words(text) if w is None else w
     return F.when(F.size(w) < 3, 0.0).otherwise(F.size(F.filter(w, lambda x: F.length(x) <= 2)) / F.greatest(F.size(w), F.lit(1)))
 
 
-def is_decorative(text: Column) -> Column:
-    return F.translate(compact(text), DIGITS_FROM, DIGITS_TO).rlike("^[0Oo°○]{1,8}$")
+def is_decorative(text: Column, c: Column | None = None) -> Column:
+    """``c``: the text without white space, if it is at hand; so below."""
+    return F.translate(compact(text) if c is None else c, DIGITS_FROM, DIGITS_TO).rlike("^[0Oo°○]{1,8}$")
 
 
 def bare(token: Column) -> Column:
     return F.regexp_replace(token, r"^[().,]+|[().,]+$", "")
 
 
-def looks_like_chart_label(text: Column) -> Column:
-    w = words(text)
+def looks_like_chart_label(text: Column, w: Column | None = None) -> Column:
+    w = words(text) if w is None else w
     return (F.size(w) <= 3) & (text.rlike("[%٪]") | F.exists(w, lambda x: bare(x).rlike(r"^\p{Nd}+$") | (F.length(bare(x)) <= 5) & bare(x).rlike(r"^\p{Nd}")))
 
 
-def looks_like_footer(text: Column, marks: tuple[str, ...] = FOOTER_MARKS) -> Column:
-    t = compact(text)
+def looks_like_footer(text: Column, marks: tuple[str, ...] = FOOTER_MARKS, c: Column | None = None) -> Column:
+    t = compact(text) if c is None else c
     found = F.lit(False)
     for mark in marks:
         found = found | t.contains(mark)

@@ -11,7 +11,7 @@ from docspark.llm.common import apart, let
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-WINDOW = 8
+WINDOW, STEPS = 8, (1, 2, 4)
 
 
 def repeated(words: Column) -> Column:
@@ -19,8 +19,13 @@ def repeated(words: Column) -> Column:
 
     Starts of such windows, in order, each cover WINDOW words less the overlap with the one before.
     """
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(hashes, lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+
+    def doubled(hashes: Column, step: int) -> Column:
+        return let(hashes, lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + step))), F.lit(1), F.size(h) - step))
+
+    windows = F.transform(words, lambda w: F.xxhash64(w))
+    for step in STEPS:  # windows of 2, of 4, of 8 words: each of two halves
+        windows = doubled(windows, step)
 
     def covered(w: Column) -> Column:
         placed = F.array_sort(F.transform(w, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.staging import shared_dir
+
 #: Keys holding more than 1/HEAVY_SHARE of all rows count as hot. There are fewer than HEAVY_SHARE of them,
 #: whatever the input, which bounds what is broadcast for them.
 HEAVY_SHARE = 512
@@ -27,10 +29,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stage"
+class Folder:
+    """A folder of staged tables in the shared folder, for those that are of no use once a result is written."""
+
+    def __init__(self, spark: SparkSession, name: str = ""):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/llm" + (f"/{name}-{uuid.uuid4().hex}" if name else "")
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        return self.stage_at(df, name)[0]
+
+    def stage_at(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+    def remove(self) -> None:
+        remove(self.spark, self.path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -38,13 +52,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs only the tasks that read it, and each later pass starts here.
     """
-    return stage_at(df, name)[0]
-
-
-def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = f"{shared_dir(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    return Folder(df.sparkSession).stage(df, name)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import HEAVY_SHARE, remove, stage_at
+from docspark.llm.common import HEAVY_SHARE, Folder, remove
 
 #: Edges that a worker contracts at once (16 bytes each).
 CHUNK = 1 << 20
@@ -70,7 +70,7 @@ def shortened(edges: DataFrame, n: int) -> DataFrame:
     return hot.unionByName(cold).select("u", F.coalesce("m", "v").alias("v"))
 
 
-def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def components(edges: DataFrame, chunk: int = CHUNK, folder: Folder | None = None) -> DataFrame:
     """node, root (the least node reachable) of every node of ``edges`` (u, v long); nulls and loops count for nothing.
 
     First every chunk of edges is contracted where it lies. While more than a chunk is left, star rounds go on: edges
@@ -78,6 +78,7 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     the shared folder. What fits a chunk is finished in one task. Only counts and checksums reach the driver.
     """
     spark = edges.sparkSession
+    stage_at = (folder or Folder(spark)).stage_at
     now, at = stage_at(contract(edges.filter(F.col("u") != F.col("v")), chunk), "stars")
     state = None
     while True:

@@ -111,6 +111,13 @@ def test_chat_reads_back(spark):
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
 
 
+def test_chat_null_conversations_and_repeated_turns(spark):
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, None, None, None), (1, 2, "assistant", "x" * 100_000), (1, 2, "assistant", "x" * 100_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"parts": chat.text_parts(F.col("text")), "content": F.lit("clash"), "head": F.lit("clash")})
+    got = {r.conv_id: (r.n_turns, r.loss_chars, r.turns_sha256) for r in chat.read_back(chat.format_turns(turns)).collect()}
+    assert got == {None: (3, 1, hashlib.sha256(b"user\na\nuser\na\nassistant\nb\n").hexdigest()), 1: (3, 200_000, hashlib.sha256(("\n\n" + f"assistant\n{'x' * 100_000}\n" * 2).encode()).hexdigest())}
+
+
 def test_chat_parts(spark):
     part = [("text", "see <s>", None, None, None, None, None), ("image", None, "a.png", 56, 57, None, None), ("audio", None, "b.wav", None, None, 2.5, None), None, ("document", None, "c.pdf", None, None, None, 3), ("other", None, None, None, None, None, None)]
     turns = spark.createDataFrame([(1, 0, "user", part)], f"conv_id long, turn long, role string, parts array<struct<{chat.PART.replace(' ', ':').replace(',:', ',')}>>")
@@ -134,6 +141,14 @@ def test_bpe_equals_library(spark):
     assert bpe.encode_texts(none(spark), PATH).count() == 0
 
 
+def test_bpe_query_against_library(spark):
+    docs, reference = spark.read.parquet(f"{SF}/documents.parquet").collect(), Tokenizer.from_file(PATH)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op8_bpe(spark, SF).collect()}
+    for r in docs:
+        ids = reference.encode(r.text or "", add_special_tokens=False).ids
+        assert got[r.doc_id] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(reference.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
 def packed_whole(spark, docs):
     coder = Tokenizer.from_file(PATH)
     want = sorted((str(d), tuple([*coder.encode(t or "", add_special_tokens=False).ids, 1])) for d, t in docs.select("doc_id", "text").collect())
@@ -477,11 +492,7 @@ def test_near_copies_against_plain_jaccard(spark):
     variants = [tuple([10_000 + i, " ".join(w if rnd.random() > 0.01 else f"x{i}" for w in base), "en", "s", 1]) for i in range(300)]  # one large group
     rows += spark.createDataFrame(variants, DOCS).collect()
 
-    def shingles(text):
-        words = __import__("re").findall("[^ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    sets = [shingles(r.text) for r in rows]
+    sets = [plain_shingles(r.text) for r in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -672,6 +683,11 @@ def test_language_sample_takes_whole_short_documents_or_the_middle_of_a_long_one
     assert "lang" not in got["de"] and len(got["de"]) > 2000 and len(got["fr"]) == langid.SAMPLE_LETTERS and set(got["fr"]) == set("longue ")
 
 
+def plain_shingles(text):
+    words = __import__("re").findall("[^ \t-\r]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def test_pipeline_against_plain_version(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     kept = {i for i, r in docs.items() if r.text and any(c.isalpha() for c in r.text)}
@@ -681,11 +697,17 @@ def test_pipeline_against_plain_version(spark):
     for i in kept:
         groups.setdefault("".join(c.lower() if c.isascii() else c for c in docs[i].text), []).append(i)
     kept = sorted(max(g) for g in groups.values())
-    classes = plain_components([plain_fingerprint(docs[i].text) for i in kept])
-    kept = {kept[c] for c in classes}
+    sets, label = [plain_shingles(docs[i].text) for i in kept], list(range(len(kept)))
+    for i in range(len(kept)):
+        for j in range(i):
+            if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    want = {kept[c] for c in label}
+    assert len(want) < len(kept)
     got = corpus_pipeline.run(spark, SF).collect()
     coder = Tokenizer.from_file(PATH)
-    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(coder.encode(docs[i].text, add_special_tokens=False).ids) + 1 for i in kept}
+    assert {r.doc_id: r.doc_tokens for r in got} == {i: len(coder.encode(docs[i].text, add_special_tokens=False).ids) + 1 for i in want}
     assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
 
 

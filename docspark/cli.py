@@ -23,7 +23,7 @@ def load(spark: SparkSession, path: str, spec: str | None) -> tuple[DataFrame, D
     """(diagnosed pages, text blocks) of the selected pages."""
     wanted = spark.range(1).select(parse_pages(F.lit(spec))).first()[0] if spec else None
     objects = files.page_objects(spark, path, wanted)
-    return diagnose.diagnose_pages(diagnose.object_stats(objects)), files.text_blocks(objects)
+    return diagnose.diagnose_pages(diagnose.object_stats(objects)), staging.stage(files.text_blocks(objects), "blocks")
 
 
 def run(spark: SparkSession, args: argparse.Namespace, options: Options) -> tuple[process.Run, DataFrame, DataFrame]:

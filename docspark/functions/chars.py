@@ -1,5 +1,7 @@
 """Character classes, spelled for Java and RE2 alike, and Unicode-aware trimming and splitting."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,9 +16,13 @@ READABLE = r"[\p{L}\p{N}\n\r\t \x{200c}]"
 FORMS = r"[\x{fb50}-\x{fdff}\x{fe70}-\x{feff}]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
-    outer = F.left(text, F.lit(1)).rlike(WS) | F.right(text, F.lit(1)).rlike(WS)
-    return F.when(outer, F.regexp_replace(text, f"^{WS}+|{SPACE_RUN}$", "")).otherwise(text)
+    return F.regexp_replace(text, f"^{WS}+|{SPACE_RUN}$", "")
 
 
 def count(text: Column, pattern: str) -> Column:

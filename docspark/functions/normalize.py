@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from docspark.functions.chars import FORMS, ONE_SPACE, PERSIAN, SPACE_RUN, count, strip
+from docspark.functions.chars import FORMS, ONE_SPACE, PERSIAN, SPACE_RUN, count, let, strip
 
 #: May hold something that NFC changes: marks, jamo, singletons, compatibility ideographs.
 UNCOMPOSED = r"(?![\x00-\x{bf}])[\p{M}\x{340}-\x{37f}\x{387}\x{1100}-\x{11ff}\x{1f00}-\x{1fff}\x{2000}\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4e}\x{1d15e}-\x{1d1c0}\x{2f800}-\x{2fa1d}]"
@@ -41,8 +41,12 @@ def nfc(text: Column) -> Column:
 def fold_forms(text: Column) -> Column:
     forms = F.from_json(F.lit(json.dumps(presentation_forms())), "map<string,string>")
     first, last = min(presentation_forms()), max(presentation_forms())  # only letters in this range are looked up
-    letters = F.transform(F.split(text, ""), lambda c: F.when(c.between(first, last), F.coalesce(F.try_element_at(forms, c), c)).otherwise(c))
-    return F.when(text.rlike(FORMS), F.array_join(letters, "")).otherwise(text)
+
+    def folded(t: Column) -> Column:
+        letters = F.transform(F.split(t, ""), lambda c: F.when(c.between(first, last), F.coalesce(F.try_element_at(forms, c), c)).otherwise(c))
+        return F.when(t.rlike(FORMS), F.array_join(letters, "")).otherwise(t)
+
+    return let(text, folded)
 
 
 def normalize_text(text: Column, composed: bool = False) -> Column:

@@ -71,7 +71,7 @@ def page_lines(blocks: DataFrame, width: float, height: float, source_method: st
     """Classified lines of pages in reading order. Text blocks are normalized before layout; of OCR blocks the text as it
     was read decides, and the normalized one is carried beside it (``clean``)."""
     if source_method == "text":
-        blocks = blocks.withColumn("text", normalize_text(F.col("text"))).filter("text != ''")
+        blocks = blocks.withColumn("text", normalize_text(F.col("text")))  # blank ones are noise
     else:
         blocks = blocks.withColumn("clean", normalize_text(F.col("text")))
     lines = layout.group_lines(layout.filter_blocks(blocks, options.footer_marks))

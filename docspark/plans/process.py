@@ -192,5 +192,5 @@ def documents(run: Run, chunks: DataFrame, blocks: DataFrame | None = None) -> D
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page_number").cast("string"), "source_method")))).alias("method_per_page"),
     )
     fields = [c for c in chunks.columns if c not in ("document_id", "chunk_index")]
-    made = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", *fields))).alias("chunks"))
+    made = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", *fields)), lambda a, b: a["chunk_index"] - b["chunk_index"]).alias("chunks"))
     return pages.join(made, "document_id", "left")

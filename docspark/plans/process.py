@@ -71,9 +71,10 @@ def run_pages(pages: DataFrame, blocks: DataFrame, width: float, height: float,
 
     Cached pages are served as they are; empty ones give an empty text, under the method ``ocr``, unless all go to OCR;
     text pages that come out too short go to OCR after all (marked in fallback_used with ``fix_fallback`` only).
-    ``ocr`` maps pages to blocks; without it, pages routed there give no row. The regions are used three times, so
-    they are staged.
+    ``ocr`` maps pages to blocks; without it, pages routed there give no row. Pages, lines and regions are used many
+    times, so they are staged.
     """
+    pages = stage(pages.select(*PAGE, "checksum_sha256", "status", "method"))  # read many times below
     routed = pages.withColumn("source_method", route(F.col("status"), F.col("method"), options)).withColumns({"page_no": F.col("page_number"), "dpi": F.lit(options.dpi), "engine_version": F.lit(chunking.ENGINE_VERSION)})
     found = _looked_up(routed, cache, options) if cache is not None else routed.withColumns({"cache_hit": F.lit(False), "cached_text": F.lit(None).cast("string")})
     keys = [*PAGE, "status", "source_method"]
@@ -114,6 +115,7 @@ def _laid_out(todo: DataFrame, blocks: DataFrame, width: float, height: float, o
 
 def run_document(pages: DataFrame, blocks: DataFrame, width: float, height: float, ocr: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options(), stage: Callable[[DataFrame], DataFrame] = staging.stage) -> Run:
     """The pass that whole documents are made of: no cache, and empty pages are left out whatever the mode."""
+    pages = stage(pages.select(*PAGE, "status", "method"))  # read many times below
     todo = pages.filter("status != 'empty'").withColumn("source_method", route(F.col("status"), F.col("method"), options))
     return _laid_out(todo.select(*PAGE, "status", "source_method"), blocks, width, height, ocr, options, stage)
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import Folder, apart, join_groups, stage
 from docspark.llm.components import components, forest
+from docspark.llm.prefixes import completed
 
 #: Bits of the fingerprint, bits that are compared at an anchor, texts an anchor should get, and the share of pairs
 #: at exactly the given similarity that should meet.
@@ -210,7 +211,8 @@ def classes(rows: DataFrame, similarity: float, folder: Folder) -> DataFrame:
     bits, tables, threshold = plan(nodes.count(), similarity)
     sample = anchored(nodes.filter(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0), bits, tables).drop("print")
     edges = folder.stage(candidates(salted(anchored(nodes, bits, tables), sample, folder), threshold), "candidates")
-    roots = folder.stage(components(verified(edges, rows, similarity, folder), folder=folder), "roots")
+    near = folder.stage(components(verified(edges, rows, similarity, folder), folder=folder), "roots")
+    roots = completed(rows.select("row", "shingles"), nodes, near, similarity, lambda found: verified(found, rows, similarity, folder), folder)
     members = roots.join(nodes.select("node", "least"), "node")
     winners = members.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.hash")
     return nodes.join(roots, "node", "left_anti").select("least.doc_id", "least.hash").unionByName(winners)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docspark.llm import bpe, chat, exact, html_main, langid, licenses, nearcopies, packing, quality, queries, sharding, simhash
+from docspark.llm import bpe, chat, exact, html_main, langid, licenses, nearcopies, packing, prefixes, quality, queries, sharding, simhash
 from docspark.llm.components import components, forest
 from docspark.llm.license_texts import KNOWN
 
@@ -514,6 +514,31 @@ def test_near_copies_split_a_hot_anchor(spark, monkeypatch):
     assert nearcopies.keep_one(docs).count() <= 10 and nearcopies.keep_one(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("block", [8192, 16])
+def test_near_copies_lose_no_link(spark, monkeypatch, block):
+    """Chains whose neighbours are just similar enough, and frequent shingles; with small blocks every bucket is hot."""
+    for module in (nearcopies, prefixes):
+        monkeypatch.setattr(module, "BLOCK", block)
+        monkeypatch.setattr(module, "SHARE", 1)
+    monkeypatch.setattr(prefixes, "SAMPLE", 1)
+    rnd, texts = random.Random(12), []
+    for chain in range(4):
+        words, at = [f"c{chain}w{i}" for i in range(2000)], 0
+        for _ in range(100):
+            texts.append(" ".join([f"top{i}" for i in range(chain * 10)] + words[at : at + 104]))
+            at += rnd.choice([9, 10, 11, 12, 13])
+    rnd.shuffle(texts)
+    sets, label = [plain_shingles(x) for x in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    docs = spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], DOCS)
+    assert 20 < len(set(label)) < 300
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == sorted(set(label))
+
+
 def test_near_copies_odd_rows(spark):
     got = nearcopies.keep_one(odd(spark))
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "4", "7", "8", "None"] and got.columns == odd(spark).columns

@@ -3,8 +3,9 @@
 Frequencies of terms, the number of documents and their mean length are those of the whole corpus. The index is
 sharded by content: each document is dealt by three of its terms, drawn in proportion to their BM25 weights and alike
 in all documents (exponential races, one per term), so the chance that two documents come together is the share of
-weight they have in common, however large the corpus is. In the order of these terms, SHARD documents at a time are
-indexed and searched; a lost executor costs its partitions alone, and the same partition packs the same way again.
+weight they have in common, however large the corpus is. In the order of these terms, SHARD documents at a time, or
+fewer long ones with POSTINGS terms, are indexed and searched; a lost executor costs its partitions alone, and the same
+partition packs the same way again.
 Documents longer than the window give up their full windows first, and the rest is found by the terms of the whole
 document. What is left when a shard runs low moves on to the next shard; at the end of a partition it is cut at powers
 of two, so that no sequence needs padding.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,9 @@ from docspark.llm.common import stage
 
 #: Documents indexed together, and how many are carried on to the next shard as its first candidates.
 SHARD, CARRY = 512, 48
+#: A shard with so many distinct terms of its new documents is searched before it has SHARD documents; a worker looks at
+#: no more terms, and at texts and ids of no more than MOST bytes, in one step (one document at least).
+POSTINGS, MOST = 1 << 20, 1 << 22
 K1, B = 1.2, 0.75
 #: Bits of a term in the key by which documents are dealt.
 TERM_BITS, KEYS = 21, 3
@@ -75,6 +80,7 @@ class Packer:
 
     def __init__(self, window: int, base: int, corpus: Statistics):
         self.window, self.sequence, self.corpus = window, base, corpus
+        self.fresh = 0  # terms of the documents that came since the last search
         self.pool: list[list] = []  # [doc, start, ids, doc_tokens, (terms, tf, length) of the whole document]
         self.out: list[tuple] = []
 
@@ -91,15 +97,19 @@ class Packer:
             self.close([(doc, start, ids[start : start + self.window], len(ids))])
         if full < len(ids):
             self.pool.append([doc, full, ids[full:], len(ids), (terms, tf, len(ids))])
-        if len(self.pool) >= SHARD:
+            self.fresh += len(terms)
+        if len(self.pool) >= SHARD or self.fresh >= POSTINGS:
             self.pack(CARRY)
+            self.fresh = 0
 
     def pack(self, leave: int) -> None:
         """Fill windows until ``leave`` rows or less than one window are unused."""
         pool, window = self.pool, self.window
-        index = Bm25([x[4] for x in pool], self.corpus)
         lengths = np.array([len(x[2]) for x in pool])
         unused, left = np.ones(len(pool), bool), int(lengths.sum())
+        if left < window:
+            return
+        index = Bm25([x[4] for x in pool], self.corpus)
         for seed in np.argsort(-lengths, kind="stable"):
             if left < window or unused.sum() <= leave:
                 break
@@ -147,19 +157,29 @@ class Packer:
             self.close(parts)
 
 
+def portions(batch: pa.RecordBatch, column: int, rows: int, most: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of ``rows`` rows or fewer and ``most`` bytes or fewer in ``column``, but of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        to = min(max(at + 1, to), at + rows, batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int, kind: str) -> DataFrame:
     """row, doc_id, ids, terms and tf of every document (ids and counts as binary), and a row with ``df`` for each task.
 
     ``df``: by term, in how many of the task's documents it is. Counts beyond the type are cut: they weigh the same.
     """
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, at, df = bpe.load(path, bpe.LibraryBPE), TaskContext.get().partitionId() << 33, None
         names = ["row", "doc_id", "ids", "terms", "tf", "df"]
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
+            for part in portions(batch, 1, 512, MOST):
                 ids = [np.frombuffer(coder.encode(x or ""), "<u4") for x in part.column(1).to_pylist()]
                 lengths = np.array([len(x) for x in ids])
                 keys, tf = np.unique(np.concatenate([np.empty(0, np.int64), *ids]).astype(np.int64) + (np.repeat(np.arange(len(ids)), lengths) << 32), return_counts=True)
@@ -213,8 +233,7 @@ def dealt(tokens: DataFrame, corpus: Statistics, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = np.dtype(kind).itemsize
         for batch in batches:
-            for first in range(0, batch.num_rows, 1024):
-                part = batch.slice(first, 1024)
+            for part in portions(batch, 3, 1024, POSTINGS * width):
                 ids, terms, tf = (part.column(k).to_pylist() for k in (2, 3, 4))
                 sizes, length = (np.array([len(x) // width for x in y]) for y in (terms, ids))
                 key = routes(np.frombuffer(b"".join(terms), kind).astype(np.int64), np.frombuffer(b"".join(tf), kind), length, sizes, corpus, races)
@@ -245,8 +264,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, window: int = 2048)
 
         for batch in batches:
             doc_kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, SHARD):
-                part = batch.slice(at, SHARD)
+            for part in portions(batch, 1, SHARD, MOST):
                 for doc, *coded in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     packer.add(doc, *(np.frombuffer(x, kind) for x in coded))
                 if packer.out:

@@ -7,6 +7,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -260,6 +261,29 @@ def test_packing_finds_long_documents_by_their_head():
     assert {doc for doc, _, _, _, s, _ in packer.out if s == sequence} == {"long", "near"}
 
 
+def test_packing_searches_fewer_long_documents_at_once(monkeypatch):
+    rnd, made, bm25 = np.random.default_rng(6), [], packing.Bm25
+    monkeypatch.setattr(packing, "POSTINGS", 20_000, raising=False)
+    monkeypatch.setattr(packing, "Bm25", lambda rows, corpus: made.append(sum(len(t) for t, _, _ in rows)) or bm25(rows, corpus))
+    docs = [rnd.permutation(2000)[:500].astype("<u2") for _ in range(300)]
+    packer = packing.Packer(64, 0, packing.Statistics(300, 150_000, np.bincount(np.concatenate(docs), minlength=2000)))
+    for i, d in enumerate(docs):
+        packer.add(i, d, *counted(d))
+    packer.finish()
+    assert max(made) <= 20_000 + 500 * (packing.CARRY + 1)
+    for i, d in enumerate(docs):
+        parts = sorted((start, ids) for doc, start, ids, _, _, _ in packer.out if doc == i)
+        assert np.frombuffer(b"".join(x for _, x in parts), "<u4").tolist() == d.tolist()
+
+
+def test_packing_steps_are_bounded_by_bytes():
+    texts = ["", None, "x" * 10, "yyy", "zzz", "zzz", "w" * 100, None, "", "", "", "v"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12)), pa.array(texts, pa.string())], ["doc_id", "text"]).slice(1)
+    parts = [p.column(1).to_pylist() for p in packing.portions(batch, 1, 3, 10)]
+    assert parts == [[None, "x" * 10], ["yyy", "zzz", "zzz"], ["w" * 100], [None, "", ""], ["", "v"]]
+    assert list(packing.portions(batch.slice(0, 0), 1, 3, 10)) == []
+
+
 def test_licenses(spark):
     texts = {f"{k}{v}": t for k, t in KNOWN.items() for v, t in enumerate((t, t.upper(), "Copyright (c) 2020 Someone\n\n" + t.replace("license", "licence").replace(",", " ,"), "(c) 2011 A\n" + t.replace("\n", "\n   ")))}
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts.values())], DOCS)

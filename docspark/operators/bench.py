@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.functions.textfeat import estimate_tokens
-from docspark.operators.cost import Prices
+from docspark.operators.cost import Prices, money
 from docspark.operators.retrieval import search
 
 # The benchmark's questions and the pages that answer them.
@@ -28,10 +28,9 @@ def fixed_questions(spark: SparkSession, n: int = len(QUESTIONS)) -> DataFrame:
 def usage(context: Column, question: Column, answer: int, prices: Prices = Prices()) -> Column:
     """Struct of a scenario's tokens and costs."""
     tokens = context + question
-    usd_in, usd_out = tokens * prices.input_usd / 1e6, F.lit(answer * prices.output_usd / 1e6)
     return F.struct(
-        context.alias("context_tokens"), question.alias("question_tokens"), F.lit(answer).alias("answer_tokens"), tokens.alias("input_tokens"), (tokens + answer).alias("total_tokens"), F.round(usd_in, 4).alias("input_cost_usd"),
-        F.round(usd_out, 4).alias("output_cost_usd"), F.round(usd_in + usd_out, 4).alias("total_cost_usd"), F.rint((usd_in + usd_out) * prices.toman).cast("long").alias("total_cost_toman"),
+        context.alias("context_tokens"), question.alias("question_tokens"), F.lit(answer).alias("answer_tokens"), tokens.alias("input_tokens"), (tokens + answer).alias("total_tokens"),
+        *(c.alias(name) for name, c in money(tokens, F.lit(answer), prices).items()),
     )
 
 

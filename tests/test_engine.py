@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docspark import cli, registry
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
-from docspark.operators import bench, cache, chunking, diagnose, layout, prompts, retrieval
+from docspark.operators import bench, cache, chunking, cost, diagnose, layout, prompts, retrieval
 from docspark.plans import ingest, process
 from docspark.sources import files
 from docspark.streaming import jobs
@@ -78,6 +78,14 @@ def test_token_estimate_rounds_half_even(spark):
     assert one(spark, T.estimate_tokens(F.col("x")), x="") == 0
 
 
+def test_costs_round_exact_halves_up(spark):
+    asked = spark.createDataFrame([(560,), (1480,), (720,)], "context int")
+    got = cost.scenario(asked, F.col("context"), F.lit(20), F.lit(350)).collect()
+    assert [(r.total_cost_usd, r.total_cost_toman) for r in got] == [(0.005, 1138), (0.0073, 1668), (0.0054, 1230)]
+    used = asked.select(bench.usage(F.col("context"), F.lit(20), 350).alias("u")).select("u.*").collect()
+    assert [(r.total_cost_usd, r.total_cost_toman) for r in used] == [(0.005, 1138), (0.0073, 1668), (0.0054, 1230)]
+
+
 def test_split_and_merge():
     assert chunking.split_paragraph("short") == ["short"]
     long = "word " * 400

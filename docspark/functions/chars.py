@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WS = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -21,12 +21,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def filter_once(rows: DataFrame, condition: Column) -> DataFrame:
+    """Rows where ``condition`` holds, by columns that are computed once a row.
+
+    The row number keeps the filter above them: pushed below, it would compute each as often as the condition comes
+    upon it.
+    """
+    return rows.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{SPACE_RUN}$", "")
 
 
-def count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+def count(text: Column, one: str) -> Column:
+    """How many characters match the class ``one``: what is gone without their runs. No list of matches is made."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"{one}+", ""))
 
 
 def words(text: Column) -> Column:

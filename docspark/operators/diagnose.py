@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.chars import CONTROL, PERSIAN_NO_FORMS_B, PRIVATE, READABLE, REPLACED, count, strip
+from docspark.functions.chars import CONTROL, PERSIAN_NO_FORMS_B, PRIVATE, READABLE, REPLACED, count, filter_once, strip
 
 STATUSES = ("text_ok", "text_plus_visual", "text_broken", "scanned", "empty")
 METHODS = {"text_ok": "text_extract_sorted", "text_plus_visual": "hybrid", "text_broken": "ocr", "scanned": "ocr", "empty": "skip"}
@@ -73,4 +73,4 @@ def diagnose_documents(diagnosed: DataFrame, key: str = "document_id") -> DataFr
 
 
 def pages_with_status(diagnosed: DataFrame, *wanted: str, key: str = "document_id") -> DataFrame:
-    return diagnosed.filter(F.col("status").isin(*wanted)).groupBy(key).agg(F.array_sort(F.collect_list("page_number")).alias("pages"))
+    return filter_once(diagnosed, F.col("status").isin(*wanted)).groupBy(key).agg(F.array_sort(F.collect_list("page_number")).alias("pages"))

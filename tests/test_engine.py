@@ -55,6 +55,19 @@ def test_status(spark, change, status):
     assert (got.status, got.method) == (status, diagnose.METHODS[status])
 
 
+@pytest.mark.parametrize("name", ["pages_with_status"])
+def test_filters_by_status_read_each_text_once(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("regexp") <= 5  # the five statistics
+
+
+def test_counts_of_characters(spark):
+    text = "a1\n ۱ ب\u200c\U0001d49c\U00020000\ufffd\ue001\x01،"
+    got = diagnose.text_stats(spark.createDataFrame([(text,), ("",), (None,)], "text string")).collect()
+    assert tuple(got[0])[1:] == (14, 10, 3, 1, 1, 1)
+    assert [tuple(r)[1:] for r in got[1:]] == [(0,) * 6] * 2
+
+
 @pytest.mark.parametrize(("given", "wanted"), [
     ("كتاب", "کتاب"), ("يك", "یک"), ("ؤةأ", "وها"), ("۱۲۳", "123"), ("٠١٢", "012"), ("می‌روم", "می‌روم"), ("سلام    دنیا", "سلام دنیا"),
     ("کِتَاب", "کتاب"), ("نیک، خوب", "نیک, خوب"), ("سلام !", "سلام!"), ("سلام ؟", "سلام ?"), ("ﺍﻣ"[:1] + "ﻣ", "ام"), ("", ""), ("Å", "Å"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docspark import oracle as O
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
-from docspark.functions.chars import words
+from docspark.functions.chars import filter_once, words
 from docspark.operators import bench, cache, chunking, cost, diagnose, layout, prompts, retrieval
 from docspark.plans import ingest, process
 from docspark.sources import files
@@ -27,9 +27,14 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.expr(O.INJECTED))
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
+def page_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the pages, with their texts."""
     rows = documents(spark, sf).select(F.col("source").alias("document_id"), F.col("doc_id").alias("page_number"), "text")
-    return diagnose.text_stats(rows).withColumns({"image_count": F.expr("int(page_number % 3)"), "image_area_ratio": F.expr("(page_number % 10) / 10D"), "drawing_count": F.expr("int(page_number % 25)")}).drop("text")
+    return diagnose.text_stats(rows).withColumns({"image_count": F.expr("int(page_number % 3)"), "image_area_ratio": F.expr("(page_number % 10) / 10D"), "drawing_count": F.expr("int(page_number % 25)")})
+
+
+def pages(spark: SparkSession, sf: str) -> DataFrame:
+    return page_rows(spark, sf).drop("text")
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,8 +218,8 @@ def route_method(spark, sf):
 
 
 def text_fallback(spark, sf):
-    rows = diagnose.diagnose_pages(pages(spark, sf)).join(documents(spark, sf).select(F.col("doc_id").alias("page_number"), "text"), "page_number")
-    return rows.filter(ingest.needs_fallback(F.col("status"), F.col("text"), ingest.Options(min_text_chars=200))).select("document_id", "page_number")
+    rows = diagnose.diagnose_pages(page_rows(spark, sf))
+    return filter_once(rows, ingest.needs_fallback(F.col("status"), F.col("text"), ingest.Options(min_text_chars=200))).select("document_id", "page_number")
 
 
 def _cached(spark, sf):

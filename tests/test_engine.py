@@ -55,7 +55,7 @@ def test_status(spark, change, status):
     assert (got.status, got.method) == (status, diagnose.METHODS[status])
 
 
-@pytest.mark.parametrize("name", ["pages_with_status"])
+@pytest.mark.parametrize("name", ["pages_with_status", "text_fallback"])
 def test_filters_by_status_read_each_text_once(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert 1 <= plan.count("regexp") <= 5  # the five statistics
@@ -68,6 +68,12 @@ def test_counts_of_characters(spark):
     assert [tuple(r)[1:] for r in got[1:]] == [(0,) * 6] * 2
 
 
+def test_text_fallback_of_equal_page_numbers(spark, tmp_path):
+    rows = spark.createDataFrame([(6, "a b " * 20, "en", "s", 80), (6, "c d " * 25, "en", "t", 100), (7, "e f " * 60, "en", "s", 240)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, registry.text_fallback(spark, str(tmp_path)).collect())) == [("s", 6), ("t", 6)]
+
+
 @pytest.mark.parametrize(("given", "wanted"), [
     ("كتاب", "کتاب"), ("يك", "یک"), ("ؤةأ", "وها"), ("۱۲۳", "123"), ("٠١٢", "012"), ("می‌روم", "می‌روم"), ("سلام    دنیا", "سلام دنیا"),
     ("کِتَاب", "کتاب"), ("نیک، خوب", "نیک, خوب"), ("سلام !", "سلام!"), ("سلام ؟", "سلام ?"), ("ﺍﻣ"[:1] + "ﻣ", "ام"), ("", ""), ("Å", "Å"),

@@ -16,7 +16,7 @@ from docspark import oracle as O
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
 from docspark.functions.chars import filter_once, words
-from docspark.operators import bench, cache, chunking, cost, diagnose, layout, prompts, retrieval
+from docspark.operators import bench, cache, chunking, cost, diagnose, layout, pagefold, prompts, retrieval
 from docspark.plans import ingest, process
 from docspark.sources import files
 
@@ -61,7 +61,7 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.annotate_headings(layout.build_regions(typed(spark, sf)))
+    return pagefold.fold(blocks(spark, sf), WIDTH, HEIGHT, "regions")
 
 
 def page_text_stats(spark, sf):
@@ -96,7 +96,7 @@ def text_features(spark, sf):
 
 
 def noise_block_filter(spark, sf):
-    return layout.filter_blocks(blocks(spark, sf)).select("document_id", "block_idx")
+    return pagefold.filter_blocks(blocks(spark, sf)).select("document_id", "block_idx")
 
 
 def group_lines(spark, sf):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docspark import cli, registry
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
-from docspark.operators import bench, cache, chunking, cost, diagnose, layout, prompts, retrieval
+from docspark.operators import bench, cache, chunking, cost, diagnose, layout, pagefold, prompts, retrieval
 from docspark.plans import ingest, process
 from docspark.sources import files
 from docspark.streaming import jobs
@@ -271,6 +271,53 @@ def test_chunk_pages_query_against_plain_version(spark, sf_regions):
     assert got == want
 
 
+@pytest.fixture(scope="module")
+def odd_blocks(spark):
+    """Blocks of the test table and of pages made to meet every rule: all kinds of words, boxes that overlap, one long page."""
+    draw = random.Random(5)
+    parts = ["the", "of", "a", "1", "25%", "(12)", "H2O", "+", "Na2", "=", "O", "o", "۰", "°", "دارد", "می‌شود", "شود", "کتاب", "ﺍﻣ", "كِتَاب", "،", ":", "ab.", "١٢", "دانلود از", "é", "é", "\U0010ffff", "\U0001d7ce", " ", "\x1c", "\t", "\xa0\xa0", "©", "中文", "word", "another"]
+    made = []
+    for page in range(60):
+        for i in range(900 if page == 0 else draw.randrange(1, 40)):
+            text = draw.choice(["", " "]) + draw.choice([" ", "  ", "\n", ""]).join(draw.choices(parts, k=draw.choice((0, 1, 1, 2, 3, 5, 9)))) + draw.choice(["", "", " ", "\n"])
+            left, top = draw.randrange(0, 500) / 1.0, draw.randrange(0, 800) / 2.0
+            made.append((f"x{page % 7}", page, i, text, draw.randrange(20, 101) / 100, left, top, left + draw.randrange(5, 300), top + draw.randrange(4, 30)))
+    return registry.blocks(spark, SF).unionByName(spark.createDataFrame(made, registry.blocks(spark, SF).schema)).localCheckpoint()
+
+
+@pytest.mark.parametrize("source", [None, "text", "ocr"])
+def test_fold_equals_the_rules_step_by_step(spark, odd_blocks, source):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)  # pages go on from batch to batch
+    blocks = odd_blocks
+    if source:
+        blocks = layout.filter_blocks(blocks.withColumn("text" if source == "text" else "clean", N.normalize_text(F.col("text"))))
+    lines = layout.classify_lines(layout.reading_order(layout.group_lines(blocks), 595.0), 842.0)
+    regions = layout.annotate_headings(layout.build_regions(lines))
+    wanted = {"lines": lines, "regions": regions}
+    for want in ("lines", "regions"):
+        got = pagefold.fold(odd_blocks, 595.0, 842.0, want, noise=bool(source), source=source)
+        assert dict(got.dtypes) == dict(wanted[want].dtypes)
+        assert rows(got.toPandas()) == rows(wanted[want].toPandas())
+    every = pagefold.fold(odd_blocks, 595.0, 842.0, "all", noise=bool(source), source=source).localCheckpoint()
+    assert rows(every.filter("kind = 'line'").select(*lines.columns).toPandas()) == rows(lines.toPandas())
+    assert rows(every.filter("kind = 'region'").select(*regions.columns).toPandas()) == rows(regions.toPandas())
+    assert rows(every.filter("kind = 'page'").select("document_id", "page_number", "text").toPandas()) == rows(process.page_text(regions).toPandas())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_filter_in_one_pass_equals_the_rules(spark, odd_blocks):
+    more = spark.createDataFrame([("y", 1, 0, None, 0.9, 0.0, 0.0, 1.0, 1.0), ("y", 1, 1, "some words", None, 0.0, 0.0, 1.0, 1.0), ("y", 1, 2, "some words", float("nan"), 0.0, 0.0, 1.0, 1.0)], odd_blocks.schema)
+    given = odd_blocks.unionByName(more)
+    assert rows(pagefold.filter_blocks(given).toPandas()) == rows(layout.filter_blocks(given).toPandas())
+
+
+@pytest.mark.parametrize("name", ["regions"])
+def test_pages_are_laid_out_in_one_pass(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(document_id") <= (1 if name in ("line_types", "regions") else 3)
+    assert "mapInArrow" in plan or "MapInArrow" in plan
+
+
 def test_chunk_bodiless_heading_and_special(spark):
     got = chunked(spark, [(1, "heading", "alef"), (1, "heading", "be"), (1, "special", "x" * 20)])
     assert [c.chunk_type for c in got] == ["heading", "heading", "special"]

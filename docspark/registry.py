@@ -57,7 +57,7 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def typed(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.classify_lines(layout.reading_order(lines(spark, sf), WIDTH), HEIGHT)
+    return pagefold.fold(blocks(spark, sf), WIDTH, HEIGHT, "lines")
 
 
 def regions(spark: SparkSession, sf: str) -> DataFrame:

@@ -311,7 +311,7 @@ def test_filter_in_one_pass_equals_the_rules(spark, odd_blocks):
     assert rows(pagefold.filter_blocks(given).toPandas()) == rows(layout.filter_blocks(given).toPandas())
 
 
-@pytest.mark.parametrize("name", ["regions", "chunk_pages", "line_types", "chunk_regions"])
+@pytest.mark.parametrize("name", ["regions", "chunk_pages", "line_types", "chunk_regions", "page_text"])
 def test_pages_are_laid_out_in_one_pass(spark, name):
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(document_id") <= (1 if name in ("line_types", "regions") else 3)

@@ -37,6 +37,9 @@ BEFORE_MARK, BLANKS = re.compile(r"\s+([,:.!،؛؟])"), re.compile(r"[ \t\xa0\u2
 BETWEEN = "\U0010ffff"  # no character; stands between texts that are worked on together
 LINE_FIELDS = "l double, t double, r double, b double, min_score double, mean_score double, line_id int, columns int, position int, median_height double, max_width double, line_type string"
 REGION_FIELDS = "role string, text string, l double, t double, r double, b double, score double, n_lines bigint, region_idx int, heading_text string"
+REGION_COLUMNS = [x.split()[0] for x in REGION_FIELDS.split(", ")]
+#: Columns of the lines of ``all``.
+LINE_COLUMNS = ["text", *(x.split()[0] for x in LINE_FIELDS.split(", ")), "role", "region_idx", "heading_text"]
 
 
 @lru_cache(maxsize=1)
@@ -207,7 +210,7 @@ def _first(*keys: np.ndarray) -> np.ndarray:
 
 def _together(texts: list[str | None], starts: np.ndarray, between: str) -> list[str]:
     """Runs of texts joined, without empty ones."""
-    ends = [*starts[1:].tolist(), len(texts)]
+    ends = [*starts[1:].tolist(), len(texts)][: len(starts)]
     return [between.join(filter(None, texts[a:z])) if z - a > 1 else texts[a] or "" for a, z in zip(starts.tolist(), ends, strict=True)]
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docspark.functions.normalize import normalize_text
 from docspark.functions.textfeat import FOOTER_MARKS
-from docspark.operators import chunking, layout
+from docspark.operators import chunking
+from docspark.operators.pagefold import fold
 
 MODES = ("auto", "text_only", "ocr_only")
 
@@ -67,21 +67,10 @@ def needs_fallback(status: Column, text: Column, options: Options) -> Column:
     return F.lit(options.mode == "auto") & (F.length(F.coalesce(text, F.lit(""))) < options.min_text_chars) & status.isin("text_ok", "text_plus_visual")
 
 
-def page_lines(blocks: DataFrame, width: float, height: float, source_method: str, options: Options = Options()) -> DataFrame:
-    """Classified lines of pages in reading order. Text blocks are normalized before layout; of OCR blocks the text as it
-    was read decides, and the normalized one is carried beside it (``clean``)."""
-    if source_method == "text":
-        blocks = blocks.withColumn("text", normalize_text(F.col("text")))  # blank ones are noise
-    else:
-        blocks = blocks.withColumn("clean", normalize_text(F.col("text")))
-    lines = layout.group_lines(layout.filter_blocks(blocks, options.footer_marks))
-    return layout.classify_lines(layout.reading_order(lines, width), height, options.footer_marks)
-
-
 def page_layout(blocks: DataFrame, width: float, height: float, source_method: str, options: Options = Options()) -> DataFrame:
-    """Regions of pages from blocks."""
-    lines = page_lines(blocks, width, height, source_method, options)
-    regions = layout.annotate_headings(layout.build_regions(lines, options.keep_headings))
+    """Regions of pages from blocks. Text blocks are normalized before layout; of OCR blocks the text as it was read
+    decides, and the normalized one makes the regions."""
+    regions = fold(blocks, width, height, "regions", noise=True, source=source_method, keep_headings=options.keep_headings, marks=options.footer_marks)
     return regions.withColumn("source_method", F.lit(source_method))
 
 

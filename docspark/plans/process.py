@@ -12,8 +12,9 @@ from pyspark.sql.window import Window
 from docspark import staging
 from docspark.operators import cache as caching
 from docspark.operators import chunking
-from docspark.operators.layout import PAGE, annotate_headings, build_regions, repeated_texts, stripped_regions
-from docspark.plans.ingest import Options, chunk_pages, job_rollup, needs_fallback, page_lines, route
+from docspark.operators.layout import PAGE, repeated_texts, stripped_regions
+from docspark.operators.pagefold import LINE_COLUMNS, REGION_COLUMNS, fold
+from docspark.plans.ingest import Options, chunk_pages, job_rollup, needs_fallback, route
 
 RESULT = (*PAGE, "status", "source_method", "text", "cache_hit", "fallback_used")
 
@@ -93,24 +94,29 @@ def _laid_out(todo: DataFrame, blocks: DataFrame, width: float, height: float, o
     keys = [*PAGE, "status", "source_method"]
     no = F.lit(False).alias("fallback_used")
 
-    def regions_of(lines: DataFrame, method: str) -> DataFrame:
-        return annotate_headings(build_regions(lines, options.keep_headings)).withColumn("source_method", F.lit(method))
+    def laid_out(these: DataFrame, method: str) -> DataFrame:
+        return stage(fold(these, width, height, "all", noise=True, source=method, keep_headings=options.keep_headings, marks=options.footer_marks))
+
+    def parts(every: DataFrame, method: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Page texts, regions and lines of ``every``."""
+        regions = every.filter("kind = 'region'").select(*PAGE, *REGION_COLUMNS).withColumn("source_method", F.lit(method))
+        lines = every.filter("kind = 'line'").withColumn("clean", F.col("clean" if method == "ocr" else "text")).select(*PAGE, "clean", *LINE_COLUMNS)
+        return every.filter("kind = 'page'").select(*PAGE, "text"), regions, lines
 
     asked = todo.filter("source_method = 'text'")
-    lines = stage(page_lines(blocks.join(asked.select(*PAGE), list(PAGE), "left_semi"), width, height, "text", options).withColumn("clean", F.col("text")))
-    laid = stage(regions_of(lines, "text"))
-    texts = asked.join(page_text(laid), list(PAGE), "left").withColumn("text", F.coalesce("text", F.lit("")))
+    texts, regions, lines = parts(laid_out(blocks.join(asked.select(*PAGE).hint("shuffle_hash"), list(PAGE), "left_semi"), "text"), "text")
+    texts = asked.join(texts, list(PAGE), "left").withColumn("text", F.coalesce("text", F.lit("")))
     short = needs_fallback(F.col("status"), F.col("text"), options)
     good = texts.filter(~short).select(*keys, "text", F.lit(False).alias("cache_hit"), no)
-    regions, lines = (df.join(good.select(*PAGE), list(PAGE), "left_semi") for df in (laid, lines))
+    others = stage(texts.withColumn("short", short).filter("short IS NULL OR short").select(*PAGE, "status", "short"))  # few: keys instead of all good pages decide below
+    regions, lines = (df.join(others.select(*PAGE), list(PAGE), "left_anti") for df in (regions, lines))
     if ocr is None:
         return Run(good, regions, lines)
-    late = texts.filter(short).select(*PAGE, "status", F.lit("ocr").alias("source_method"), F.lit(options.fix_fallback).alias("fallback_used"))
+    late = others.filter("short").select(*PAGE, "status", F.lit("ocr").alias("source_method"), F.lit(options.fix_fallback).alias("fallback_used"))
     scans = todo.filter("source_method = 'ocr'").select(*keys, no).unionByName(late)
-    read = stage(page_lines(ocr(scans.select(*PAGE)), width, height, "ocr", options))
-    seen = stage(regions_of(read, "ocr"))
-    done = scans.join(page_text(seen), list(PAGE), "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("cache_hit"), "fallback_used")
-    return Run(good.unionByName(done), regions.unionByName(seen), lines.unionByName(read))
+    read, seen, found = parts(laid_out(ocr(scans.select(*PAGE)), "ocr"), "ocr")
+    done = scans.join(read, list(PAGE), "left").select(*keys, F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("cache_hit"), "fallback_used")
+    return Run(good.unionByName(done), regions.unionByName(seen), lines.unionByName(found))
 
 
 def run_document(pages: DataFrame, blocks: DataFrame, width: float, height: float, ocr: Callable[[DataFrame], DataFrame] | None = None, options: Options = Options(), stage: Callable[[DataFrame], DataFrame] = staging.stage) -> Run:
@@ -128,7 +134,7 @@ def run_pipeline(pages: DataFrame, blocks: DataFrame, width: float, height: floa
     run = run_document(pages, blocks, width, height, ocr, options, stage)
     repeated = repeated_texts(run.lines.select(*PAGE, F.col("clean").alias("text")))
     if options.strip_repeated:
-        left = stage(stripped_regions(run.lines, options.keep_headings).join(run.pages.select(*PAGE, "source_method"), list(PAGE)))
+        left = stage(stripped_regions(run.lines).join(run.pages.select(*PAGE, "source_method"), list(PAGE)))
         keys = [c for c in run.pages.columns if c != "text"]
         texts = run.pages.select(*keys).join(page_text(left), list(PAGE), "left").withColumn("text", F.coalesce("text", F.lit("")))
         run = Run(texts.select(*run.pages.columns), left, run.lines)
@@ -148,7 +154,7 @@ def run_jobs(jobs: DataFrame, pages: DataFrame, blocks: DataFrame, width: float,
     Chunks are made page by page and numbered through the job. The rollup has a row a job: pages_done, the methods and
     statuses by page, chunk_count.
     """
-    run = run_pages(selected(pages, jobs), blocks.join(jobs.select("document_id"), "document_id", "left_semi"), width, height, cache, ocr, options)
+    run = run_pages(selected(pages, jobs), blocks, width, height, cache, ocr, options)
     chunks = job_chunks(run, options)
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     rollup = job_rollup(run.pages, "document_id", "source_method").join(counts, "document_id", "left").withColumn("chunk_count", F.coalesce("chunk_count", F.lit(0)))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from docspark import cli, registry
+from docspark import cli, registry, staging
 from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
 from docspark.operators import bench, cache, chunking, cost, diagnose, layout, pagefold, prompts, retrieval
@@ -305,6 +305,23 @@ def test_fold_equals_the_rules_step_by_step(spark, odd_blocks, source):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+@pytest.mark.parametrize("name", ["process_pages"])
+def test_whole_runs_make_blocks_once_and_fold_pages_twice(spark, monkeypatch, name):
+    staged, folded = [], []
+    monkeypatch.setattr(registry, "stage", lambda df, name: staged.append(name) or staging.stage(df, name))
+    monkeypatch.setattr(process, "fold", lambda *a, source, **b: folded.append(source) or pagefold.fold(*a, source=source, **b))
+    registry.queries()[name](spark, SF)
+    assert (staged, folded) == (["blocks"], ["text", "ocr"])
+
+
+def test_fold_of_pages_without_regions(spark):
+    noise = spark.createDataFrame([("d", 1, 0, "o O o", 0.9, 1.0, 1.0, 5.0, 5.0), ("d", 2, 0, "", 0.9, 1.0, 1.0, 5.0, 5.0)], registry.blocks(spark, SF).schema)
+    for filtered in (False, True):
+        got = pagefold.fold(noise, 595.0, 842.0, "all", noise=filtered).collect()
+        assert [(r.kind, r.line_type) for r in got] == [("line", "noise")] * (0 if filtered else 2)
+        assert pagefold.fold(noise, 595.0, 842.0, "regions", noise=filtered).collect() == []
+
+
 def test_filter_in_one_pass_equals_the_rules(spark, odd_blocks):
     more = spark.createDataFrame([("y", 1, 0, None, 0.9, 0.0, 0.0, 1.0, 1.0), ("y", 1, 1, "some words", None, 0.0, 0.0, 1.0, 1.0), ("y", 1, 2, "some words", float("nan"), 0.0, 0.0, 1.0, 1.0)], odd_blocks.schema)
     given = odd_blocks.unionByName(more)

@@ -305,7 +305,7 @@ def test_fold_equals_the_rules_step_by_step(spark, odd_blocks, source):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-@pytest.mark.parametrize("name", ["process_pages"])
+@pytest.mark.parametrize("name", ["process_pages", "ingest_job"])
 def test_whole_runs_make_blocks_once_and_fold_pages_twice(spark, monkeypatch, name):
     staged, folded = [], []
     monkeypatch.setattr(registry, "stage", lambda df, name: staged.append(name) or staging.stage(df, name))

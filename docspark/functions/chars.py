@@ -31,7 +31,9 @@ def filter_once(rows: DataFrame, condition: Column) -> DataFrame:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{SPACE_RUN}$", "")
+    """Without white space at both ends; only texts that have some there are searched."""
+    edges = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(edges.rlike(ONE_SPACE), F.regexp_replace(text, f"^{WS}+|{SPACE_RUN}$", "")).otherwise(text)
 
 
 def count(text: Column, one: str) -> Column:

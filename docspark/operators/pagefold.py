@@ -25,8 +25,8 @@ from docspark.functions import normalize as N
 from docspark.functions import textfeat as T
 from docspark.operators.layout import MIN_FORMULA_SCORE, MIN_SCORE, PAGE, SENTENCE_TAILS, VERB_STARTS
 
-SPACE, LETTER, PERSIAN, LATIN, DECIMAL, DIGIT, DECORATION, PERCENT = (1 << i for i in range(8))
-SOLE = "Oo0Q©®"
+SPACE, LETTER, PERSIAN, LATIN, DECIMAL, DIGIT, PERCENT = (1 << i for i in range(7))
+SOLE, DECORATIVE = "Oo0Q©®", frozenset("0Oo°○۰٠")
 FORMULA = re.compile(T.FORMULA.removesuffix("$") + r"(?:\r\n|[\n\r\x85\u2028\u2029])?\Z")  # as Java ends a line
 ELEMENT, SIGN = re.compile("[A-Z][a-z]?[0-9]"), re.compile("[+=→⇌-]")
 DIGITS = str.maketrans(T.DIGITS_FROM, T.DIGITS_TO)
@@ -51,7 +51,7 @@ def _classes() -> np.ndarray:
         flags[ord(c)] = SPACE * c.isspace() | LETTER * (kind[0] == "L") | DECIMAL * (kind == "Nd")
     for first, last in ((0x600, 0x6FF), (0x750, 0x77F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFF)):
         flags[first : last + 1] |= PERSIAN
-    for chars, flag in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", LATIN), ("0123456789" + T.DIGITS_FROM, DIGIT), ("0Oo°○۰٠", DECORATION), ("%٪", PERCENT)):
+    for chars, flag in (("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", LATIN), ("0123456789" + T.DIGITS_FROM, DIGIT), ("%٪", PERCENT)):
         flags[[ord(c) for c in chars]] |= flag
     return flags
 
@@ -84,12 +84,13 @@ class Features:
         kinds = _classes()[points]
         blank = kinds & SPACE != 0
         full = ~blank
+        self.kinds = kinds
         self.size = self._each(full)
         self.length = ends - self.starts
-        self.foreign = self._each(full & (points >= 128))
-        for name, flag in (("letters", LETTER), ("persian", PERSIAN), ("latin", LATIN), ("decimals", DECIMAL), ("digits", DIGIT), ("decorations", DECORATION), ("percents", PERCENT)):
-            setattr(self, name, self._each(kinds & flag != 0))
-        self.spaces = self._each(points == 32)
+        self.latin = self._each(kinds & LATIN != 0)
+        self.foreign = self._few(full & (points >= 128))
+        for name, flag in (("persian", PERSIAN), ("decimals", DECIMAL), ("digits", DIGIT), ("percents", PERCENT)):
+            setattr(self, name, self._few(kinds & flag != 0))
         edge = np.zeros(len(points) + 1, bool)
         edge[self.starts], edge[-1] = True, True
         first = np.flatnonzero(full & (edge[:-1] | np.concatenate(([True], blank[:-1]))[: len(points)]))
@@ -102,14 +103,22 @@ class Features:
         self.fa = self.persian > 0
         self.spam = np.where(self.words < 3, 0.0, self.short / np.maximum(self.words, 1))
         self.english = (self.foreign == 0) & (self.latin >= 3) & (10 * self.latin >= 7 * self.size)
-        self.decorative = (self.size >= 1) & (self.size <= 8) & (self.decorations == self.size)
+        self.decorative = self._where((self.size >= 1) & (self.size <= 8), lambda t: DECORATIVE.issuperset("".join(t.split())))
         self.ratio = self.persian / np.maximum(self.size, 1)
         self.foot = self._containing(points[full], marks)
-        self.formula = self._where((self.digits > 0) & (self.length - self.spaces <= 60), _formula)
+        self.formula = self._where(self.digits > 0, _formula)
+
+    def letters(self) -> np.ndarray:
+        return self._each(self.kinds & LETTER != 0)
 
     def _each(self, mask: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0], np.cumsum(mask)))
-        return sums[self.ends] - sums[self.starts]
+        sums = np.zeros(len(mask) + 1, np.int32 if len(mask) < 2**31 else np.int64)
+        np.cumsum(mask.view(np.int8), dtype=sums.dtype, out=sums[1:])
+        return (sums[self.ends] - sums[self.starts]).astype(np.int64)
+
+    def _few(self, mask: np.ndarray) -> np.ndarray:
+        """The same for what is rare in most texts."""
+        return np.bincount(np.searchsorted(self.ends, np.flatnonzero(mask), "right"), minlength=len(self.ends))
 
     def _where(self, asked: np.ndarray, rule: Callable[[str], bool]) -> np.ndarray:
         out = np.zeros(len(self.texts), bool)
@@ -162,7 +171,7 @@ class Features:
         heading = (w >= 2) & (w <= 8) & short & ((height > 1.25 * median) | (w <= 6)) & ~np.isin(self.last, [ord(c) for c in ",.،;:"])
         noise = (
             (n == 0) | (bottom >= 0.90 * page_height) & (self.foot | (w <= 6)) | self.foot | self.decorative | (self.spam >= 0.5) & (w >= 3),
-            ~self.fa & ((n <= 3) | (n <= 10) & (score < 0.75) | (self.letters < 3)) | (self.ratio < 0.35) & (n <= 12) & (score < 0.75),
+            ~self.fa & ((n <= 3) | (n <= 10) & (score < 0.75) | (self.letters() < 3)) | (self.ratio < 0.35) & (n <= 12) & (score < 0.75),
         )
         special = self.formula | self.chart() | self.english & ~self.fa
         return np.select([noise[0], special, noise[1], self.sentence() | self.numbers(), heading], ["noise", "special", "noise", "body", "heading"], "body")
@@ -170,7 +179,7 @@ class Features:
 
 def _formula(text: str) -> bool:
     t = text.replace(" ", "").translate(DIGITS)
-    return bool(FORMULA.match(t) and re.search("[0-9]", t) or ELEMENT.search(t) and SIGN.search(t))
+    return len(t) <= 60 and bool(FORMULA.match(t) and re.search("[0-9]", t) or ELEMENT.search(t) and SIGN.search(t))
 
 
 def _chart(text: str) -> bool:

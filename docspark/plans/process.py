@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from docspark import staging
 from docspark.operators import cache as caching
 from docspark.operators import chunking
-from docspark.operators.layout import PAGE, repeated_texts, stripped_regions
+from docspark.operators.layout import PAGE, repeated_texts, stripped_regions, with_texts
 from docspark.operators.pagefold import LINE_COLUMNS, REGION_COLUMNS, fold
 from docspark.plans.ingest import Options, chunk_pages, job_rollup, needs_fallback, route
 
@@ -132,13 +132,17 @@ def run_pipeline(pages: DataFrame, blocks: DataFrame, width: float, height: floa
     With ``strip_repeated`` off, it is run_document and its chunks.
     """
     run = run_document(pages, blocks, width, height, ocr, options, stage)
-    repeated = repeated_texts(run.lines.select(*PAGE, F.col("clean").alias("text")))
-    if options.strip_repeated:
-        left = stage(stripped_regions(run.lines).join(run.pages.select(*PAGE, "source_method"), list(PAGE)))
-        keys = [c for c in run.pages.columns if c != "text"]
-        texts = run.pages.select(*keys).join(page_text(left), list(PAGE), "left").withColumn("text", F.coalesce("text", F.lit("")))
-        run = Run(texts.select(*run.pages.columns), left, run.lines)
-    return PipelineRun(run, document_chunks(run, options), repeated if options.strip_repeated else repeated.limit(0))
+    if not options.strip_repeated:
+        return PipelineRun(run, document_chunks(run, options), repeated_texts(run.lines.select(*PAGE, F.col("clean").alias("text"))).limit(0))
+    repeated = stage(repeated_texts(run.lines.select(*PAGE, F.col("clean").alias("text"))))
+    # only pages that hold a repeated line are made again
+    touched = stage(with_texts(run.lines.filter("region_idx IS NOT NULL"), repeated, "clean").select(*PAGE).distinct())
+    left = stripped_regions(run.lines.join(touched, list(PAGE), "left_semi"), repeated).join(run.pages.select(*PAGE, "source_method"), list(PAGE))
+    left = stage(left.select(*run.regions.columns))
+    new = stage(touched.join(page_text(left), list(PAGE), "left").select(*PAGE, F.coalesce("text", F.lit("")).alias("_new")))
+    pages = run.pages.join(new, list(PAGE), "left").withColumn("text", F.coalesce("_new", "text")).select(*run.pages.columns)
+    run = Run(pages, run.regions.join(touched, list(PAGE), "left_anti").unionByName(left), run.lines)
+    return PipelineRun(run, document_chunks(run, options), repeated)
 
 
 def selected(pages: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -314,8 +314,27 @@ def test_whole_runs_make_blocks_once_and_fold_pages_twice(spark, monkeypatch, na
     assert (staged, folded) == (["blocks"], ["text", "ocr"])
 
 
+def test_only_pages_with_repeated_lines_are_made_again(spark, monkeypatch):
+    rows_, made, ocr = registry._run_inputs(spark, SF)
+    seen = []
+    monkeypatch.setattr(process, "stripped_regions", lambda lines, gone: seen.append((lines, gone)) or layout.stripped_regions(lines, gone))
+    process.run_pipeline(rows_, made, 595.0, 842.0, ocr)
+    [(lines, gone)] = seen
+    hit = layout.with_texts(lines.filter("region_idx IS NOT NULL"), gone, "clean").select("document_id", "page_number").distinct()
+    assert hit.count() == lines.select("document_id", "page_number").distinct().count() < made.select("document_id", "page_number").distinct().count()
+
+
+def test_repeated_texts_of_equal_digests_are_told_apart(spark, monkeypatch):
+    used = []
+    monkeypatch.setattr(layout.F, "xxhash64", lambda *c: used.append(c) or F.lit(7).cast("long"))
+    lines = spark.createDataFrame([("d", p, x) for p in range(5) for x in ("\x85same\u2003", f"only {p}", "ab ", "", None)] + [("e", p, "same") for p in range(3)], "document_id string, page_number int, text string")
+    assert sorted(map(tuple, layout.repeated_texts(lines).collect())) == [("d", "same")]
+    assert len(used) == 2
+    assert layout.strip_repeated(lines).count() == 23
+
+
 def test_fold_of_pages_without_regions(spark):
-    noise = spark.createDataFrame([("d", 1, 0, "o O o", 0.9, 1.0, 1.0, 5.0, 5.0), ("d", 2, 0, "", 0.9, 1.0, 1.0, 5.0, 5.0)], registry.blocks(spark, SF).schema)
+    noise = spark.createDataFrame([("d", 1, 0, "o O", 0.9, 1.0, 1.0, 5.0, 5.0), ("d", 2, 0, "", 0.9, 1.0, 1.0, 5.0, 5.0)], registry.blocks(spark, SF).schema)
     for filtered in (False, True):
         got = pagefold.fold(noise, 595.0, 842.0, "all", noise=filtered).collect()
         assert [(r.kind, r.line_type) for r in got] == [("line", "noise")] * (0 if filtered else 2)

@@ -507,6 +507,28 @@ def test_sentence_tails_are_body(spark, ending, kind):
     assert layout.classify_lines(lines, 842.0).filter("line_id = 1").first().line_type == kind
 
 
+def test_search_tasks_are_bounded(spark, monkeypatch):
+    """Partitions of both joins grow with the terms, whatever the session's number of partitions; results stay."""
+    args = registry.chunks(spark, SF), registry.questions(spark, SF)
+    want = rows(retrieval.search(*args).toPandas())
+    used = []
+    monkeypatch.setattr(type(args[0]), "repartition", lambda self, *a, whole=type(args[0]).repartition: used.append(a) or whole(self, *a))
+    monkeypatch.setattr(retrieval, "TASK_ROWS", 500, raising=False)
+    monkeypatch.setattr(retrieval, "TASK_CHUNKS", 20, raising=False)
+    assert rows(retrieval.search(*args).toPandas()) == want
+    assert len(used) == 2 and used[0] == (11, "chunk_id") and used[1][0] > 11
+
+
+@pytest.mark.parametrize("size", [5, 1_000_000])
+def test_tokens_of_odd_texts(spark, monkeypatch, size):
+    monkeypatch.setattr(retrieval, "TEXT_CHARS", size, raising=False)
+    texts = [(1, "aa b\u2003aa\x1cكتاب ,cc"), (2, None), (3, ""), (1, "aa"), (None, "dd dd"), (4, "\U0010ffffe ff"), (5, "é" * 3 + " e\u0301e\u0301\u0301")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, text string")
+    plain = chunks.select("chunk_id", F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("chunk_id", "token").agg(F.count("*").alias("tf"))
+    assert rows(retrieval.term_frequencies(chunks).toPandas()) == rows(plain.toPandas())
+    assert "Generate" not in retrieval.term_frequencies(chunks)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_search_by_broadcast_and_by_shuffle_agree(spark, monkeypatch):
     chunks = spark.createDataFrame([(i, f"word{i % 7} word{i % 5} common text {i}") for i in range(200)], "chunk_id long, text string")
     queries = spark.createDataFrame([(1, "word3 word4"), (2, "common text"), (3, "nothing here"), (4, "word1 word1 42")], "query_id long, question string")

@@ -248,7 +248,7 @@ def job_rollup(spark, sf):
 def bench_summary(spark, sf):
     hits = retrieval.search(chunks(spark, sf), questions(spark, sf))
     texts = documents(spark, sf).select(F.col("doc_id").alias("chunk_id"), T.estimate_tokens(F.col("text")).alias("tokens"))
-    each = hits.join(texts, "chunk_id").groupBy("query_id").agg(F.sum("tokens").alias("rag"), F.bool_or(F.col("chunk_id") % 10 == F.col("query_id") % 10).alias("hit"))
+    each = hits.hint("shuffle_hash").join(texts, "chunk_id").groupBy("query_id").agg(F.sum("tokens").alias("rag"), F.bool_or(F.col("chunk_id") % 10 == F.col("query_id") % 10).alias("hit"))
     whole = texts.agg(F.sum("tokens").alias("whole"))
     return each.join(F.broadcast(whole)).agg(F.count("*").alias("n"), F.round(F.avg(F.col("hit").cast("int")), 2).alias("hit_rate"), F.round(F.avg("rag"), 1).alias("mean_rag_tokens"), F.round(F.avg(100 * (1 - F.col("rag") / F.col("whole"))), 1).alias("mean_reduction"))
 

@@ -519,6 +519,14 @@ def test_search_tasks_are_bounded(spark, monkeypatch):
     assert len(used) == 2 and used[0] == (11, "chunk_id") and used[1][0] > 11
 
 
+@pytest.mark.parametrize("name", ["bench_summary", "question_bench"])
+def test_benchmarks_do_not_sort_chunks(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin [chunk_id" in plan
+
+
 @pytest.mark.parametrize("size", [5, 1_000_000])
 def test_tokens_of_odd_texts(spark, monkeypatch, size):
     monkeypatch.setattr(retrieval, "TEXT_CHARS", size, raising=False)

@@ -44,7 +44,7 @@ def question_bench(chunks: DataFrame, questions: DataFrame, baseline_tokens: int
     ``chunks``: chunk_id, text, page_start, page_end; ``questions``: query_id, question, expected_pages. A question
     without a hit has no pages and an empty context.
     """
-    hits = retriever(chunks, questions, k).join(chunks.select("chunk_id", F.length("text").alias("n"), "page_start", "page_end"), "chunk_id")
+    hits = retriever(chunks, questions, k).hint("shuffle_hash").join(chunks.select("chunk_id", F.length("text").alias("n"), "page_start", "page_end"), "chunk_id")
     found = hits.groupBy("query_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("page_start", "page_end"))))).alias("retrieved_pages"), (F.sum("n") + 2 * (F.count("*") - 1)).alias("n"))  # k rows a question
     rows = questions.join(found, "query_id", "left").withColumn("retrieved_pages", F.coalesce("retrieved_pages", F.array().cast("array<int>")))
     n = F.coalesce("n", F.lit(0))
